@@ -64,9 +64,9 @@ def analog_amplitude(f: Column, p) -> Column:
         w0 = 2 * math.pi * hz
         return F.sqrt((F.lit((a * w0) ** 2) + w * w) / (F.lit(w0**2) + w * w * b**2))
 
-    def second(hz: float, h: float) -> Column:  # |w0^2 + 2 h w0 s + s^2| with 2 h = damping
+    def second(hz: float, h: float) -> Column:  # |w0^2 + 2 h w0 s + s^2|
         w0 = 2 * math.pi * hz
-        return F.sqrt(F.pow(F.lit(w0**2) - w * w, F.lit(2.0)) + F.pow(w * (h * w0), F.lit(2.0)))
+        return F.sqrt(F.pow(F.lit(w0**2) - w * w, F.lit(2.0)) + F.pow(w * (2 * h * w0), F.lit(2.0)))
 
     out = first(0, 1, p.f0_hz) * first(1, 2, p.f1_hz) * first(4, 8, p.f1_hz) * first(0.25, 0.5, p.f1_hz)
     out = out * second(p.correction_hz, p.correction_numerator_damping) / second(p.correction_hz, p.correction_denominator_damping)

@@ -193,9 +193,9 @@ def integrate_to_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(motion.integrate(wave(spark, sf_dir)))
 
 
-@query(f"WITH {WAVE}, {integral_sql('wave', 'v')}, {integral_sql('v', 'd')} SELECT record_id, i, {r6(*ALL)} FROM d")
+@query(f"WITH {WAVE}, {integral_sql('wave', 'v')}, {integral_sql('v', 'd')} SELECT record_id, i, {r6(*ALL, digits=9)} FROM d")
 def integrate_to_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(motion.integrate_twice(wave(spark, sf_dir)))
+    return rounded(motion.integrate_twice(wave(spark, sf_dir)), 9)
 
 
 PEAKS3 = ("max(abs(c0)) AS peak_c0", "max(abs(c1)) AS peak_c1", "max(abs(c2)) AS peak_c2")
@@ -206,9 +206,9 @@ def peak_ground_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(motion.peak_ground_velocity(wave(spark, sf_dir)))
 
 
-@query(f"WITH {WAVE}, {integral_sql('wave', 'v')}, {integral_sql('v', 'd')} SELECT record_id, {r6(*PEAKS3, f'max({RESULTANT}) AS pgd_cm')} FROM d GROUP BY record_id")
+@query(f"WITH {WAVE}, {integral_sql('wave', 'v')}, {integral_sql('v', 'd')} SELECT record_id, {r6(*PEAKS3, f'max({RESULTANT}) AS pgd_cm', digits=9)} FROM d GROUP BY record_id")
 def peak_ground_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(motion.peak_ground_displacement(wave(spark, sf_dir)))
+    return rounded(motion.peak_ground_displacement(wave(spark, sf_dir)), 9)
 
 
 @query(f"WITH {WAVE} SELECT record_id, i, {r6(*[f'{c} - avg(CASE WHEN i < 10 THEN {c} END) OVER (PARTITION BY record_id) AS {c}' for c in ALL])} FROM wave")
@@ -329,13 +329,13 @@ def intensity_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT o_orderkey, {class_sql('o_totalprice / 1000', scale.LONG_LOWER, scale.LONG_CLASSES)} AS long_period_class,
  'Long-period class ' || {class_sql('o_totalprice / 1000', scale.LONG_LOWER, scale.LONG_CLASSES)} AS label, CAST(floor((o_orderkey % 63 + 16) / 10) AS INTEGER) AS band,
- round(o_totalprice * 9.80665 / 0.01, 4) AS gal_from_g, round(o_totalprice * 0.01, 6) AS mps2, CAST(ceil(o_totalprice / 1000 * 100 - 1e-12) AS BIGINT) AS samples FROM orders""")
+ round(o_totalprice * 9.80665 / 0.01, 6) AS gal_from_g, round(o_totalprice * 0.01, 6) AS mps2, CAST(ceil(o_totalprice / 1000 * 100 - 1e-12) AS BIGINT) AS samples FROM orders""")
 def long_period_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, v = table(spark, sf_dir, "orders"), F.col("o_totalprice") / 1000
     name = scale.classify_long_period(v)
     return o.select(
         "o_orderkey", name.alias("long_period_class"), scale.long_period_label(name, "en").alias("label"), scale.band_of(F.col("o_orderkey") % 63 + 16).alias("band"),
-        F.round(units.to_gal(F.col("o_totalprice"), "g"), 4).alias("gal_from_g"), F.round(units.convert(F.col("o_totalprice"), "gal", "m/s^2"), 6).alias("mps2"), sample_count_column(v, F.lit(100.0)).alias("samples"),
+        F.round(units.to_gal(F.col("o_totalprice"), "g"), 6).alias("gal_from_g"), F.round(units.convert(F.col("o_totalprice"), "gal", "m/s^2"), 6).alias("mps2"), sample_count_column(v, F.lit(100.0)).alias("samples"),
     )
 
 

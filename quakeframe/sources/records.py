@@ -64,7 +64,7 @@ def parse_text_records(texts: DataFrame) -> DataFrame:
     followed by rows of one to three values.
     """
     lines = F.split(F.regexp_replace(F.regexp_replace(F.col("text"), "\r\n?", "\n"), r"\s+$", ""), "\n")
-    df = texts.withColumn("lines", F.transform(lines, F.trim)).withColumn("n_lines", F.size("lines"))
+    df = texts.withColumn("lines", F.transform(lines, lambda x: F.trim(x))).withColumn("n_lines", F.size("lines"))
     line = lambda k: F.coalesce(F.get("lines", F.lit(k)), F.lit(""))
     last = lambda k: F.get(F.reverse(_tokens(line(k))), F.lit(0))
     first = lambda k: F.get(_numbers(line(k)), F.lit(0))
@@ -80,7 +80,7 @@ def parse_text_records(texts: DataFrame) -> DataFrame:
         "station_code": last(0), "latitude_deg": first(1), "longitude_deg": first(2), "sampling_rate_hz": first(3), "unit": last(4),
         "time_numbers": _numbers(line(5)), "component_names": _tokens(line(6)), "body": F.transform(body, _tokens),
     })
-    df = df.withColumn("start_time", F.when(F.size(t) >= 6, start + F.make_dt_interval(secs=(micro / 1_000_000).cast("decimal(18,6)"))))
+    df = df.withColumn("start_time", F.when(F.size(t) >= 6, F.timestamp_add("MICROSECOND", micro.cast("int"), start)))
     df = df.withColumn("samples", F.transform("body", lambda row: F.transform(row, lambda x: x.try_cast("double"))))
     width = F.size("component_names")
     odd = F.array_position(F.transform("body", lambda r: F.size(r) != width), True)
