@@ -263,7 +263,7 @@ def test_near_codes_brute_force(spark):
         codes |= {c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(3)} | {c ^ 15 << rng.randrange(60)}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     got = [tuple(r) for r in line_dedup.near_codes(spark.createDataFrame([(c,) for c in signed], "code long")).collect()]
-    want = {(min(p), max(p)) for p in itertools.combinations(signed, 2) if (p[0] % (1 << 64) ^ p[1] % (1 << 64)).bit_count() <= 3}
+    want = {(min(p), max(p)) for p in itertools.combinations(signed, 2) if (p[0] % (1 << 64) ^ p[1] % (1 << 64)).bit_count() <= line_dedup.MAX_BITS}
     assert sorted(got) == sorted(want)
 
 
@@ -295,9 +295,14 @@ def test_fuzzy_lines_join(spark):
 
 
 def test_similarity(spark):
-    pairs = [("abcdefghij", "abcdefghix"), ("abcdefghij", "abcdefgxyz"), ("a", "a"), ("abcdefghijk", "abcdefghij")]
-    got = spark.createDataFrame(pairs, "x string, y string").select(line_dedup.similar("x", "y").alias("s")).collect()
-    assert [r.s for r in got] == [True, False, True, True]
+    from pyspark.sql import functions as F
+
+    base = [f"w{k}" for k in range(200)]
+    far = base[:120] + [f"x{k}" for k in range(40)] + base[160:]
+    farther = base[:119] + [f"x{k}" for k in range(41)] + base[160:]
+    pairs = [("a b c d e", "a b x d e"), ("a b c d e", "a x y d e"), ("a", "a"), ("a b c d e f", "b c d e f"), (" ".join(base), " ".join(far)), (" ".join(base), " ".join(farther))]
+    df = spark.createDataFrame(pairs, "x string, y string").select(line_dedup.spelled(F.col("x")).alias("x"), line_dedup.spelled(F.col("y")).alias("y"))
+    assert [r.s for r in df.select(line_dedup.similar("x", "y").alias("s")).collect()] == [True, False, True, True, True, False]
 
 
 # -- 5 exact ---------------------------------------------------------------------------
