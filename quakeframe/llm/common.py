@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The six ASCII white-space characters of the contracts: [\x20\x09-\x0D].
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -42,6 +43,17 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def first_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group, the first by a hash of doc_id (column rank, from 1).
+
+    Hash buckets give their first rows before groups do, so that no group meets in a task whole.
+    """
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    bucket = Window.partitionBy(group, F.pmod(F.xxhash64("doc_id"), F.lit(512))).orderBy(*order)
+    few = rows.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= most)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= most)
+
+
 def crc32_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

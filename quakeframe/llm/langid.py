@@ -21,9 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import crc32_mod
+from .common import crc32_mod, first_by_hash
 
 PER_LANGUAGE, MOST_LANGUAGES = 400, 128
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
@@ -122,9 +121,7 @@ def fit(docs: DataFrame, learnable: Column | None = None, per_language: int = PE
     """A model from a bounded sample: each language's first rows by a hash of their id."""
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
     known = known.where(learnable) if learnable is not None else known
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    few = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_language)
-    few = few.orderBy("rank", "lang").limit(per_language * MOST_LANGUAGES).select("doc_id").distinct()
+    few = first_by_hash(known, "lang", per_language).orderBy("rank", "lang").limit(per_language * MOST_LANGUAGES).select("doc_id").distinct()
     rows = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id")  # bounded ids
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
     found = [r for r in found if r[0] and _LETTER.search(r[0])]
