@@ -23,6 +23,7 @@ import re
 import tempfile
 import unicodedata
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
@@ -34,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import durable, slices
 
 MOST_WORDS, LONGEST, MEMO = 1 << 16, 40, 200_000
 WORD_END = "</w>"
@@ -83,7 +84,10 @@ class Vocabulary:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.ranks = {p: (k, p[0] + p[1]) for k, p in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in (self.ids | self.added).items()}
+        spelled = self.ids | self.added
+        self.tokens = np.full(max(spelled.values(), default=-1) + 1, None, object)
+        for token, i in spelled.items():
+            self.tokens[i] = token
         self.letters = byte_letters()
         found = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
         self.split_added = re.compile(f"({found})") if found else None
@@ -122,7 +126,11 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> str:
         """The file has no decoder, so tokens are joined by spaces; unknown ids are left out."""
-        return " ".join([t for i in ids.tolist() if (t := self.tokens.get(i)) is not None])
+        found = self.tokens[ids if not len(ids) or ids.max() < len(self.tokens) else ids[ids < len(self.tokens)]].tolist()
+        try:
+            return " ".join(found)
+        except TypeError:
+            return " ".join([t for t in found if t is not None])
 
 
 def _words(text: str) -> list[str]:
@@ -244,10 +252,24 @@ class Lexicon:
 
 
 def frequent_words(docs: DataFrame, most: int = MOST_WORDS) -> list[str]:
-    """The commonest runs of letters over all whole texts (they only make encoding faster)."""
+    """The commonest runs of letters over all whole texts, at most ``most`` (they only make encoding faster).
+
+    Counts are dealt to logarithmic steps first; the steps say from which count on words
+    fit, so that the driver gets those words alone, however many tasks count.
+    """
     word = F.explode(F.split(F.lower(F.col("text").cast("string")), r"[^\p{L}]+")).alias("word")
-    counts = docs.select(word).where(f"word <> '' and length(word) <= {LONGEST // 2}").groupBy("word").count()
-    return [r[0] for r in counts.orderBy(F.desc("count"), "word").limit(most).select("word").collect()]
+    counts = docs.select(word).where(f"word <> '' and length(word) <= {LONGEST // 2}").groupBy("word").count().where("count > 1")
+    counts = durable(counts.withColumn("step", F.floor(F.log2("count") * 16).cast("int")))
+    steps = counts.groupBy("step").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect()  # 16 a factor of two
+    total, least = 0, None
+    for r in steps:
+        total += r["n"]
+        if total > most:
+            break
+        least = r["step"]
+    if least is None:
+        return []
+    return [r["word"] for r in counts.where(F.col("step") >= least).select("word").collect()]
 
 
 def build_lexicon(words: list[str], vocabulary: Vocabulary) -> Lexicon:
@@ -263,39 +285,42 @@ class Encoder:
         self.vocabulary, self.lexicon = vocabulary, lexicon
         self.memo: dict[str, list[int]] = {}
 
+    def _merged(self, word: str | int) -> list[int]:
+        """Ids of a word that the lexicon lacks; an added token is its own id."""
+        if isinstance(word, int):
+            return [word]
+        ids = self.memo.get(word)
+        if ids is None:
+            ids = self.vocabulary.merge(word)
+            if len(word) <= LONGEST:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[word] = ids
+        return ids
+
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each whole text."""
         if not texts:
             return []
-        numbers: dict = {}
+        numbers: defaultdict = defaultdict()
+        numbers.default_factory = numbers.__len__  # a new word gets the next number
         rows, counts = [], []
         for text in texts:
             found = self.vocabulary.words(text or "")
             counts.append(len(found))
-            rows.extend([numbers.setdefault(w, len(numbers)) for w in found])
+            rows.extend(map(numbers.__getitem__, found))
         distinct = list(numbers)
         at = self.lexicon.find([w.encode() if isinstance(w, str) else b"" for w in distinct])
-        offsets, table = self.lexicon.offsets, self.lexicon.ids
-        lists: list = [None] * len(distinct)
-        for i, k in enumerate(at.tolist()):
-            if k >= 0:
-                lists[i] = table[offsets[k] : offsets[k + 1]]
-                continue
-            word = distinct[i]
-            if isinstance(word, int):
-                lists[i] = [word]
-                continue
-            ids = self.memo.get(word)
-            if ids is None:
-                ids = self.vocabulary.merge(word)
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                if len(word) <= LONGEST:
-                    self.memo[word] = ids
-            lists[i] = ids
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.concatenate([np.asarray(x, np.uint32) for x in lists]) if lists else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
+        offsets = self.lexicon.offsets
+        begin, size = offsets[np.maximum(at, 0)].astype(np.int64), np.zeros(len(at), np.int64)
+        known = at >= 0
+        size[known] = offsets[at[known] + 1] - begin[known]
+        merged: list[int] = []
+        for i in np.flatnonzero(~known).tolist():
+            ids = self._merged(distinct[i])
+            begin[i], size[i] = len(self.lexicon.ids) + len(merged), len(ids)
+            merged += ids
+        flat = np.concatenate([self.lexicon.ids, np.array(merged, np.uint32)])
         use = np.asarray(rows, np.int64)
         each = size[use]
         stop = np.cumsum(each)
@@ -333,7 +358,7 @@ def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, str],
         encoder = _encoder(*shipped)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for i, j in slices(texts):
+            for i, j in slices(texts, 1 << 21):
                 made = [finish(ids, encoder.vocabulary.decode(ids)) for ids in encoder.encode(texts[i:j])]
                 cols = [pa.array([m[k] for m in made], _ARROW[kind]) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], schema=schema)
