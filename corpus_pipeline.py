@@ -1,10 +1,15 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again.
+
+Defined cases: rows that repeat a doc_id count as one document and stay or go together;
+rows without a doc_id can't be named in a decision and go with the exact copies; null and
+empty texts are clean, equal to each other, and hold no tokens, so the mixing leaves at
+most one; an empty table passes through empty.  Only the columns of documents come out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +48,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text."""
+    import public_tokenizers
+
     return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
 
 
