@@ -294,6 +294,49 @@ def test_fuzzy_lines_join(spark):
     assert sum(got.values()) >= 1 and got[1] == 0
 
 
+def edits(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def dropped_by_all_pairs(lines):
+    """Numbers of the lines that go when every pair of 5 words or more is compared."""
+    root = list(range(len(lines)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        x, y = lines[i].split(), lines[j].split()
+        if x == y or (min(len(x), len(y)) >= 5 and 5 * edits(x, y) <= max(len(x), len(y))):
+            root[max(find(i), find(j))] = min(find(i), find(j))
+    return [i for i in range(len(lines)) if find(i) != i]
+
+
+def test_every_similar_line_is_found(spark):
+    rng = random.Random(3)
+    lines = []
+    for _ in range(60):
+        base = [rng.choice(("the", "of", "a", f"w{rng.randrange(3000)}")) for _ in range(rng.randrange(6, 51))]
+        lines.append(base)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(1, max(1, len(base) // 4))):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.randint(0, 1)] = [f"n{rng.randrange(3000)}"] * rng.randint(0, 1)
+            lines.append(copy)
+    lines = [" ".join(x) for x in lines]
+    want = dropped_by_all_pairs(lines)
+    got = line_dedup.dedup_lines(odd(spark, [(1, "\n".join(lines), None, None, None)])).collect()[0]
+    assert len(want) > 80 and got.dropped == want
+
+
 def test_similarity(spark):
     from pyspark.sql import functions as F
 
