@@ -8,8 +8,8 @@ which ``labelled_pages`` composes from parts of known label.  Text runs whose ma
 over one half are the main text.
 
 Defined cases: null, empty and text-free pages give the empty text; broken markup is read
-as far as it goes (unclosed elements end with their parent, unclosed comments and scripts
-run to the end); pages with a null id or url are returned; other columns are ignored.
+as far as it goes (unclosed elements end with their parent, unclosed comments and raw text
+run to the end, other skipped elements without an end are skipped by their tag alone); pages with a null id or url are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements by what they do.
-SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "title")
+RAW = {"script", "style", "iframe", "textarea", "title"}  # hold text only, up to their end tag
+SKIPPED = RAW | {"template", "svg", "canvas", "audio", "video", "select"}
+FALLBACK = {"noscript", "object"}  # stand inside of text, with text of their own
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set(
     "html body div section article main nav header footer aside form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th"
     " caption blockquote pre figure figcaption address details summary dialog menu center hgroup search button label head".split()
-)
+) | FALLBACK
 BREAKS = {"br", "hr"}
 #: Start tags that end an open element of the named kinds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -65,11 +67,12 @@ _GROUP |= {f"h{i}": "heading" for i in range(1, 7)} | dict.fromkeys(("table", "t
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)"
-    rf"|<(?P<skip>{'|'.join(SKIPPED)})\b[^>]*>.*?(?:</(?P=skip)\s*>|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<odd>[a-zA-Z][^\s/>]*)[^>]*>"
     r"|</?[a-zA-Z][^>]*(?:>|$)|<[!?/][^>]*(?:>|$)",
     re.S | re.I,
 )
+_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in SKIPPED}
 _NAME = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+(?:-[a-z]+)*")
@@ -136,6 +139,7 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = [("html", root)]
     pieces: list[str] = []
     linked, anchors, at = 0, 0, 0
+    open_ended: set[str] = set()  # skipped elements without an end tag in the rest of the page
 
     def say(raw: str) -> None:
         nonlocal linked
@@ -154,13 +158,20 @@ def parse(page: str) -> Tree:
             pieces.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
-        tag = m["tag"]
-        if tag is None:
+        tag = (m["tag"] or m["odd"] or "").lower()
+        if tag in SKIPPED and not m["end"] and not (tag == "svg" and m[0].endswith("/>")):
+            end = None if tag in open_ended else _END[tag].search(page, at)
+            if end:
+                at = end.end()
+            elif tag in RAW:
+                at = len(page)
+            else:
+                open_ended.add(tag)
+        if m["tag"] is None:
             continue
-        tag = tag.lower()
         if tag in BREAKS:
             say(" ")
             if tag == "hr":
@@ -182,7 +193,7 @@ def parse(page: str) -> Tree:
             continue
         if tag == "body":
             del stack[1:]
-        elif names[-1] == "p" or (names[-1][0] == "h" and names[-1][1:].isdigit() and tag != "p"):
+        elif tag not in FALLBACK and (names[-1] == "p" or (names[-1][0] == "h" and names[-1][1:].isdigit() and tag != "p")):
             stack.pop()  # a block ends an open paragraph, and a block other than a paragraph an open heading
         if tag in CLOSES:
             for k in range(len(stack) - 1, 0, -1):

@@ -150,6 +150,25 @@ def test_html_generated_pages(spark, sf_dir):
         assert got[p["page_id"]].replace(" ", "") == "\n\n".join(b for b in blocks if b).replace(" ", ""), p["page_id"]
 
 
+@pytest.mark.parametrize(
+    ("part", "inner"),
+    [
+        ("<svg-icon name=x></svg-icon>", []), ("<video-js id=v></video-js>", []), ("<select-box></select-box>", []), ("<title-bar></title-bar>", []),
+        ("<svg class='i'/>", []), ("<math/>", []), ("<svg class='i'>", []), ("<canvas>", []), ("<svg><text>gone</text></svg>", []), ("<script>let gone</script>", []),
+        ("<template data-a='>'>gone</template>", []), ("<p><math><mi>energy</mi></math></p>", ["energy"]), ("<noscript><p>plain words</p></noscript>", ["plain words"]),
+        ("<object data=x>instead of it</object>", ["instead of it"]),
+    ],
+)
+def test_page_goes_on_after(part, inner):
+    runs = [x for x in html_extract.parse(f"<p>one</p>{part}<p>two</p><p>three</p>").text if x is not None]
+    assert runs == ["one", *inner, "two", "three"]
+
+
+def test_unclosed_raw_text_runs_to_the_end():
+    runs = [x for x in html_extract.parse("<p>one</p><script>let x = '<p>two</p>'").text if x is not None]
+    assert runs == ["one"]
+
+
 # -- 2 SimHash -------------------------------------------------------------------------
 
 
