@@ -3,14 +3,16 @@
 A plan is a weight table (row, col, station_id, weight) that later frames of values join
 and sum.  Cells and stations meet on cubes of the unit sphere whose side is the search
 radius: a cell looks in its own and the 26 cubes around it, so the search is an equi-join
-that stays in proportion to near pairs.  Without a radius (extrapolation asked for) every
-station is a candidate of every cell; only then, and only up to MAX_STATIONS, stations
-are broadcast.
+that stays in proportion to near pairs.  The nearest station is searched in growing radii,
+so any number of stations is taken and the distance is true everywhere.  Inverse distance
+without a radius (extrapolation asked for) takes every station as a candidate of every
+cell; only then, and only up to MAX_STATIONS, stations are broadcast.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
+from ..plans.storage import shared_dir
 
 #: Stations that a broadcast or a driver-side triangulation may hold.
 MAX_STATIONS = 20_000
@@ -162,13 +165,45 @@ def pairs_within(cells: DataFrame, stations: DataFrame, radius_km: float | None)
     return near if radius_km is None else near.where(F.col("distance_km") <= radius_km)
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quakeframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def nearest_pairs(cells: DataFrame, stations: DataFrame) -> DataFrame:
+    """(row, col, n (distance_km, station_id)): the nearest station of each cell that has coordinates, ties by the smallest id.
+
+    The radius starts at the stations' mean spacing and doubles for the cells that found
+    none; what is found within a radius is the nearest.  The last one spans the earth.
+    """
+    half_way = math.pi * geo.EARTH_RADIUS_KM
+    xyz = dict(zip("xyz", geo.unit_xyz(F.col("lon"), F.col("lat")), strict=True))
+    size = stations.agg(F.count(F.lit(1)).alias("n"), *[(F.max(v) - F.min(v)).alias(k) for k, v in xyz.items()]).first()
+    widest = max(size.x or 0.0, size.y or 0.0, size.z or 0.0)
+    radius = min(max(widest * geo.EARTH_RADIUS_KM / math.sqrt(max(size.n, 1)), 1.0), half_way)
+    left, found = _written(cells.select("row", "col", "lat", "lon")), []
+    while True:
+        near = pairs_within(left, stations, radius if radius < half_way else half_way * (1 + 1e-9))
+        found.append(_written(near.groupBy("row", "col").agg(F.min(F.struct("distance_km", "station_id")).alias("n"))))
+        if radius >= half_way or not size.n:
+            break
+        left = _written(left.join(found[-1], ["row", "col"], "left_anti"))
+        if left.isEmpty():
+            break
+        radius = min(radius * 2, half_way)
+    best = found[0]
+    for more in found[1:]:
+        best = best.union(more)
+    return best
+
+
 def nearest_plan(cells: DataFrame, stations: DataFrame, config: NearestConfig) -> DataFrame:
     """(row, col, station_id, weight, nearest_km, neighbor_count): the nearest station, ties by the smallest id.
 
     Unsupported cells keep the true distance to the nearest station and have no station.
     """
-    every = pairs_within(cells, stations, None) if stations.limit(MAX_STATIONS + 1).count() <= MAX_STATIONS else pairs_within(cells, stations, config.max_distance_km)
-    best = every.groupBy("row", "col").agg(F.min(F.struct("distance_km", "station_id")).alias("n"))
+    best = nearest_pairs(cells, stations)
     inside = F.lit(True) if config.max_distance_km is None else F.col("n.distance_km") <= config.max_distance_km
     best = cells.select("row", "col").join(best, ["row", "col"], "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
     return best.select(

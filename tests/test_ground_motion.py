@@ -519,6 +519,28 @@ def test_delaunay_circles_are_empty():
     assert area == pytest.approx(want, rel=1e-9)
 
 
+def test_nearest_takes_any_number_of_stations(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "MAX_STATIONS", 2)
+    rng = np.random.default_rng(4)
+    at = np.vstack([rng.uniform((34.9, 134.9), (35.1, 135.1), (30, 2)), [[-35.0, -45.0]]])
+    cells = np.vstack([rng.uniform((30, 130), (40, 140), (20, 2)), [[-10.0, 20.0], [at[0, 0], at[0, 1]]]])
+    stations = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "station_id int, lat double, lon double")
+    frame = spark.createDataFrame([(i, 0, *map(float, p)) for i, p in enumerate(cells)], "row int, col int, lat double, lon double")
+
+    def unit(p):
+        b, a = np.radians(p.T)
+        return np.column_stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)])
+
+    km = 2 * 6371.0088 * np.arcsin(np.minimum(np.linalg.norm(unit(cells)[:, None] - unit(at)[None], axis=2) / 2, 1))
+    for limit in (40.0, None):
+        config = spatial.NearestConfig(max_distance_km=limit, allow_extrapolation=limit is None)
+        got = {r.row: r for r in spatial.nearest_plan(frame, stations, config).collect()}
+        assert len(got) == len(cells)
+        for i, d in enumerate(km):
+            assert got[i].nearest_km == pytest.approx(d.min(), abs=1e-6)
+            assert got[i].station_id == (int(d.argmin()) if limit is None or d.min() <= limit else None)
+
+
 def test_spatial_arguments(spark):
     with pytest.raises(ValueError, match="extrapolation"):
         spatial.IDWConfig(4)
