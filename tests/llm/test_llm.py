@@ -356,6 +356,12 @@ def test_every_similar_line_is_found(spark):
     assert len(want) > 80 and got.dropped == want
 
 
+def test_lines_of_one_code_are_all_compared(spark):
+    lines = ["0 " * n + x for n in (6, 9, 14, 21, 32) for x in ("1", "2")]
+    got = line_dedup.dedup_lines(odd(spark, [(1, "\n".join(lines), None, None, None)])).collect()[0]
+    assert got.dropped == [1, 3, 5, 7, 9] == dropped_by_all_pairs(lines)
+
+
 def test_similarity(spark):
     from pyspark.sql import functions as F
 
