@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,9 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder and read it back.
 
@@ -40,7 +44,23 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quakeframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _written[found] = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that nothing reads any more.
+
+    Shuffle files go once the driver's JVM collects the plans that they belong to, which
+    it is asked to do here: a job of many steps would otherwise keep them all to its end.
+    """
+    for df in tables:
+        if path := _written.pop(df, None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+            context._jvm.System.gc()
 
 
 def first_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:

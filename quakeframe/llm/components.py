@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, durable
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,11 +35,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         left = points.select("a", F.col("p").alias("pa"))
         right = points.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         moved = pairs.join(left, "a").select("pa", "b").join(right, "b").where("pa <> pb")
-        pairs = durable(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        before, pairs = pairs, durable(moved.select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct())
+        discard(before)
     if not maps:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     root = maps[-1].select("a", "p")
     for points in reversed(maps[:-1]):
         deeper = root.select(F.col("a").alias("p"), F.col("p").alias("q"))
         root = points.join(deeper, "p", "left").select("a", F.coalesce("q", "p").alias("p"))
-    return root.select(F.col("a").alias("node"), F.col("p").alias("root"))
+    found = durable(root.select(F.col("a").alias("node"), F.col("p").alias("root")))
+    discard(pairs, *maps)
+    return found
