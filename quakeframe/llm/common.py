@@ -33,34 +33,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder and read it back.
 
-    Lost executors lose nothing of it, and what stands above isn't computed twice.
+    Lost executors lose nothing of it, and what stands above isn't computed twice.  The
+    write's own shuffle files go with it, as a job of many steps would otherwise keep them
+    all to its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quakeframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)
     _written[found] = path
     return found
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``durable`` that nothing reads any more.
-
-    Shuffle files go once the driver's JVM collects the plans that they belong to, which
-    it is asked to do here: a job of many steps would otherwise keep them all to its end.
-    """
+    """Delete tables of ``durable`` that nothing reads any more."""
     for df in tables:
         if path := _written.pop(df, None):
             context = df.sparkSession.sparkContext
             folder = context._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
-            context._jvm.System.gc()
 
 
 def first_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:
