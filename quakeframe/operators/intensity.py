@@ -212,6 +212,7 @@ def realtime_summary(series: DataFrame) -> DataFrame:
 def rolling_kth_largest(series: DataFrame, window: int, k: int, value: str = "x") -> DataFrame:
     """Adds ``kth``: the exact k-th largest of the latest ``window`` values of each record, null until k came.
 
+    A null value takes a place in the window, but has no rank.
     A window of up to a few dozen rows stays a sorted array in SQL; a longer one is a
     sorted list in a kernel, as re-sorting each frame costs its length every row.
     """

@@ -104,20 +104,26 @@ def measured_filter(x: np.ndarray, rate: float) -> np.ndarray:
 
 
 class RollingRank:
-    """The k-th largest of the latest ``window`` values, kept as a sorted list; undefined until k values came."""
+    """The k-th largest of the latest ``window`` values, kept as a sorted list; undefined until k values came.
+
+    NaN stands for a missing value: it takes a place in the window, but has no rank.
+    """
 
     def __init__(self, window: int, k: int, latest: list[float] | None = None):
         if not 1 <= k <= window:
             raise ValueError("k must lie between one and the window")
         self.window, self.k = window, k
         self.latest: deque[float] = deque(latest or [], maxlen=None)
-        self.ordered = sorted(self.latest)
+        self.ordered = sorted(v for v in self.latest if v == v)
 
     def update(self, value: float) -> float | None:
         if len(self.latest) == self.window:
-            del self.ordered[bisect_left(self.ordered, self.latest.popleft())]
+            oldest = self.latest.popleft()
+            if oldest == oldest:
+                del self.ordered[bisect_left(self.ordered, oldest)]
         self.latest.append(value)
-        insort(self.ordered, value)
+        if value == value:
+            insort(self.ordered, value)
         return self.threshold
 
     @property

@@ -20,6 +20,8 @@ from . import design, kernels
 from .intensity import samples_of
 from .motion import check_rate, components_of, convert_waveform
 
+TIE_DIGITS = 6
+
 
 def oscillator_responses(df: DataFrame, periods: tuple[float, ...], damping: float, rate: float = 100.0, unit: str = "gal", series: bool = False) -> DataFrame:
     """(record_id, period_s, component, sd_cm, sv_cm_s): peaks of relative displacement and velocity, the first sample included.
@@ -143,9 +145,14 @@ def long_period_bands(sva: DataFrame) -> DataFrame:
 
 
 def long_period_class(sva: DataFrame, rate: float = 100.0, damping: float = design.LONG_DAMPING, periods: tuple[float, ...] | None = None, high_pass: bool = True) -> DataFrame:
-    """One row per record of an absolute velocity spectrum: its maximum, the first period that reaches it, and the class."""
+    """One row per record of an absolute velocity spectrum: its maximum, the period that reaches it, and the class.
+
+    Of periods whose maxima agree to TIE_DIGITS decimals the shortest is the critical one:
+    where all share the sample of the maximum, they differ by rounding errors alone.
+    """
+    reached = F.struct(F.round("sva_cm_s", TIE_DIGITS), -F.col("period_s"))
     out = sva.groupBy("record_id").agg(
-        F.max("sva_cm_s").alias("max_sva_cm_s"), F.max_by("period_s", F.struct("sva_cm_s", -F.col("period_s"))).alias("critical_period_s"), F.max("sample_count").alias("sample_count")
+        F.max("sva_cm_s").alias("max_sva_cm_s"), F.max_by("period_s", reached).alias("critical_period_s"), F.max("sample_count").alias("sample_count")
     )
     reference = float(rate) == 100.0 and damping == design.LONG_DAMPING and high_pass and tuple(periods or design.LONG_PERIODS_S) == design.LONG_PERIODS_S
     return out.withColumn("long_period_class", scale.classify_long_period(F.col("max_sva_cm_s"))).withColumn("reference_conditions_met", F.lit(reference))

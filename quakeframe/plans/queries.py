@@ -284,6 +284,25 @@ def rolling_kth_largest_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intensity.rolling_kth_largest(amplitude(spark, sf_dir), 70, 30, "amplitude"))
 
 
+GAPPED = f"{AMPLITUDE}, gap AS (SELECT record_id, i, CASE WHEN i % 7 <> 3 THEN amplitude END AS amplitude FROM amp)"
+
+
+def _gapped(name: str, window: int, k: int) -> None:
+    """Every seventh value is missing; the window is on either side of where the kernel takes over."""
+
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        gaps = amplitude(spark, sf_dir).withColumn("amplitude", F.when(F.col("i") % 7 != 3, F.col("amplitude")))
+        return rounded(intensity.rolling_kth_largest(gaps, window, k, "amplitude"))
+
+    kth = f"list_sort(list(amplitude) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW), 'DESC', 'NULLS LAST')[{k}] AS kth"
+    QUERIES[name] = f
+    ORACLES[name] = f"WITH {GAPPED} SELECT record_id, i, {r6('amplitude', kth)} FROM gap"
+
+
+_gapped("rolling_kth_gaps", 50, 12)
+_gapped("rolling_kth_gaps_long", 66, 12)
+
+
 @query("""
 WITH w AS (SELECT user_id AS record_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, floor(value / 20) AS x FROM events),
 r AS (SELECT *, sum(ch) OVER (PARTITION BY record_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN x = lag(x) OVER (PARTITION BY record_id ORDER BY i) THEN 0 ELSE 1 END AS ch FROM w)),
@@ -463,8 +482,9 @@ def absolute_velocity_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {LONG} SELECT record_id, {r6('max(sva) AS max_sva_cm_s', 'arg_max(period_s, sva) AS critical_period_s')}, any_value(n) AS sample_count, "
-    f"{class_sql('max(sva)', scale.LONG_LOWER, scale.LONG_CLASSES)} AS long_period_class, true AS reference_conditions_met FROM sva GROUP BY record_id"
+    f"WITH RECURSIVE {LONG}, top AS (SELECT *, max(round(sva, 6)) OVER (PARTITION BY record_id) AS most FROM sva) "
+    f"SELECT record_id, {r6('max(sva) AS max_sva_cm_s')}, round(min(period_s) FILTER (round(sva, 6) = most), 6) + 0.0 AS critical_period_s, any_value(n) AS sample_count, "
+    f"{class_sql('max(sva)', scale.LONG_LOWER, scale.LONG_CLASSES)} AS long_period_class, true AS reference_conditions_met FROM top GROUP BY record_id"
 )
 def long_period_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectra.long_period_class(spectra.absolute_velocity_spectrum(wave(spark, sf_dir, TWO))))

@@ -43,6 +43,21 @@ def test_sql_oracle(spark, name, sf_dir):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(queries.ORACLES[name], sf_dir)
 
 
+@pytest.mark.parametrize("name", ["long_period_class", "rolling_kth_gaps_long"])
+def test_sql_oracle_at_ten_times_the_rows(spark, name, sf_dir):
+    larger = sf_dir.replace("sf0.001", "sf0.01")
+    assert spark_rows(queries.QUERIES[name](spark, larger)) == duck_rows(queries.ORACLES[name], larger)
+
+
+@pytest.mark.parametrize("window", [4, 70])
+def test_rolling_kth_skips_nulls(spark, window):
+    values = [1.0, 5.0, None, 3.0, 2.0, 4.0]
+    rows = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "record_id int, i long, x double")
+    got = {r["i"]: r["kth"] for r in intensity.rolling_kth_largest(rows, window, 2).collect()}
+    frames = [sorted((v for v in values[max(0, i - window + 1) : i + 1] if v is not None), reverse=True) for i in range(6)]
+    assert [got[i] for i in range(6)] == [f[1] if len(f) > 1 else None for f in frames]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
