@@ -341,8 +341,8 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
     return _encoders[key]
 
 
-def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, str], tuple], names: list[str], kinds: list[str], most: int = MOST_WORDS) -> DataFrame:
-    """docs' doc_id with what finish makes of each text's ids and of their decoded text."""
+def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, Vocabulary], tuple], names: list[str], kinds: list[str], most: int = MOST_WORDS) -> DataFrame:
+    """docs' doc_id with what finish makes of each text's ids; the vocabulary decodes them."""
     context = docs.sparkSession.sparkContext
     folder = Path(tempfile.mkdtemp(prefix="quakeframe-bpe-"))
     stem = uuid.uuid4().hex
@@ -359,7 +359,7 @@ def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, str],
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for i, j in slices(texts, 1 << 21):
-                made = [finish(ids, encoder.vocabulary.decode(ids)) for ids in encoder.encode(texts[i:j])]
+                made = [finish(ids, encoder.vocabulary) for ids in encoder.encode(texts[i:j])]
                 cols = [pa.array([m[k] for m in made], _ARROW[kind]) for k, kind in enumerate(kinds)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *cols], schema=schema)
 
@@ -370,14 +370,17 @@ def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, str],
 _ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids, decoded."""
+def encode_documents(docs: DataFrame, path: str, decode: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids and, if asked for, decoded."""
     names, kinds = ["n_tokens", "ids", "decoded"], ["long", "array<int>", "string"]
-    return map_encoded(docs, path, lambda ids, text: (len(ids), ids.astype(np.int32), text), names, kinds)
+    if decode:
+        return map_encoded(docs, path, lambda ids, vocabulary: (len(ids), ids.astype(np.int32), vocabulary.decode(ids)), names, kinds)
+    return map_encoded(docs, path, lambda ids, _: (len(ids), ids.astype(np.int32)), names[:2], kinds[:2])
 
 
-def _digest(ids: np.ndarray, text: str) -> tuple:
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def _digest(ids: np.ndarray, vocabulary: Vocabulary) -> tuple:
+    decoded = vocabulary.decode(ids).encode()
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:

@@ -68,14 +68,40 @@ def discard(*tables: DataFrame) -> None:
 
 
 def first_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each group, the first by a hash of doc_id (column rank, from 1).
+    """At most ``most`` rows of each group, the first by a hash of doc_id (column rank, from 1); rows without a group go.
 
-    Hash buckets give their first rows before groups do, so that no group meets in a task whole.
+    Counts in ranges of the hash, summed before they are shuffled, tell in which range a
+    group's sample ends; only rows up to there are sorted, however large the group.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    bucket = Window.partitionBy(group, F.pmod(F.xxhash64("doc_id"), F.lit(512))).orderBy(*order)
-    few = rows.withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= most)
-    return few.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= most)
+    placed = rows.where(F.col(group).isNotNull()).withColumn("range", F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(group, "range").count().withColumn("passed", F.coalesce(F.sum("count").over(before), F.lit(0)))
+    last = counts.where(F.col("passed") < most).groupBy(group).agg(F.max("range").alias("last"))
+    few = placed.join(last, group).where("range <= last")
+    order = Window.partitionBy(group).orderBy("range", F.xxhash64("doc_id"), "doc_id")
+    return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*rows.columns, "rank")
+
+
+def row_key(text: Column) -> Column:
+    """Tells rows of one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose (doc_id, row_key) is in kept, null ids included; of rows equal in both one stays."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumns({"id": F.col("row.doc_id").cast("long"), "key": row_key(F.col("row.text"))})
+    repeats = rows.groupBy("id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chosen = kept.select(F.col("doc_id").alias("id"), F.col("row_key").alias("key")).distinct()
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
+    met = rows.join(chosen, same(rows, chosen), "left_semi")
+    several = durable(repeats.join(chosen, same(repeats, chosen), "left_semi").select("id", "key"))
+    if several.isEmpty():
+        return met.select("row.*")
+    # Rows equal in both are few, and only they are moved again.
+    once = met.join(several, same(met, several), "left_anti").select("row.*")
+    again = met.join(several, same(met, several), "left_semi").dropDuplicates(["id", "key"])
+    return once.union(again.select("row.*"))
 
 
 def crc32_mod(doc_id: Column, modulus: int) -> Column:

@@ -9,7 +9,7 @@ list of its verified identifiers, and equal lists are equal texts.
 
 Defined cases: null counts as the empty text; texts that are empty after normalising are
 equal; a row with a null doc_id belongs to its group, but stays only if all have none;
-rows that repeat a doc_id and text share one decision; extra columns are ignored.
+of rows that repeat a doc_id and a text one stays; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ASCII_SPACE, durable
+from .common import ASCII_SPACE, durable, keep_rows, row_key
 
 LEAST_CHUNK, MOST_CHUNK = 512, 4096
 
@@ -39,13 +39,14 @@ def chunk_key(chunk: Column, key_bits: int) -> Column:
 
 
 def recipes(docs: DataFrame, least: int = LEAST_CHUNK, most: int = MOST_CHUNK, key_bits: int = 64) -> DataFrame:
-    """(doc_id, n_cp, text_sha256, keys, ords), written: keys and ords are the recipe.
+    """(doc_id, row_key, rid, n_cp, text_sha256, keys, ords), written: keys and ords are the recipe, rid numbers the rows.
 
     ords is empty where every key of the document stands for one chunk text alone.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     cut = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
+        row_key(F.col("text")).alias("row_key"),
         F.char_length(text).cast("long").alias("n_cp"),
         normalised(F.col("text")).alias("norm"),
     )
@@ -53,6 +54,8 @@ def recipes(docs: DataFrame, least: int = LEAST_CHUNK, most: int = MOST_CHUNK, k
     base = durable(
         cut.select(
             "doc_id",
+            "row_key",
+            F.monotonically_increasing_id().alias("rid"),
             "n_cp",
             F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
             F.transform(parts, lambda c: chunk_key(c, key_bits)).alias("keys"),
@@ -74,20 +77,31 @@ def recipes(docs: DataFrame, least: int = LEAST_CHUNK, most: int = MOST_CHUNK, k
     both = base["doc_id"].eqNullSafe(found["doc_id"]) & (base["text_sha256"] == found["text_sha256"])
     return durable(
         base.join(found, both, "left").select(
-            base["doc_id"], "n_cp", base["text_sha256"], "keys", F.coalesce("found", F.array().cast("array<int>")).alias("ords")
+            base["doc_id"], "row_key", "rid", "n_cp", base["text_sha256"], "keys", F.coalesce("found", F.array().cast("array<int>")).alias("ords")
         )
     )
 
 
+def judged_rows(docs: DataFrame, least: int = LEAST_CHUNK, most: int = MOST_CHUNK, key_bits: int = 64) -> DataFrame:
+    """One row per row of docs: doc_id, row_key, keep_id, group_size, kept, text_sha256."""
+    base = recipes(docs, least, most, key_bits)
+    none = F.col("doc_id").isNull()
+    best = F.min(F.struct((-F.col("n_cp")).alias("less"), none.alias("none"), F.col("doc_id").alias("id"), F.col("rid").alias("rid")))
+    groups = base.groupBy("keys", "ords").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
+    groups = groups.select("keys", "ords", "group_size", F.col("best.id").alias("keep_id"), F.col("best.rid").alias("best"))
+    return base.join(groups, ["keys", "ords"]).select(
+        "doc_id", "row_key", "keep_id", "group_size", (F.col("rid") == F.col("best")).alias("kept"), "text_sha256"
+    )
+
+
 def exact_duplicates(docs: DataFrame, least: int = LEAST_CHUNK, most: int = MOST_CHUNK, key_bits: int = 64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the most code points, then the smallest doc_id stays.
     """
-    base = recipes(docs, least, most, key_bits)
-    best = F.min(F.struct((-F.col("n_cp")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
-    groups = base.groupBy("keys", "ords").agg(F.count(F.lit(1)).alias("group_size"), best.alias("best"))
-    groups = groups.select("keys", "ords", "group_size", F.col("best.id").alias("keep_id"))
-    return base.join(groups, ["keys", "ords"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    return judged_rows(docs, least, most, key_bits).drop("row_key")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, one of each group of equal texts, whether they have an id or not."""
+    return keep_rows(docs, judged_rows(docs).where("kept"))

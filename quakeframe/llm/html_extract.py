@@ -49,6 +49,8 @@ NAMED = {
     "share": "share sharing social follow buttons tags tagcloud meta byline rating print",
     "good": "article content main post entry story text body page-content entry-content post-content article-body story-body main-content prose",
 }
+#: Hyphenated words of everyday language that begin with one of them.
+ORDINARY = {"ad-hoc", "side-effect", "side-effects", "foot-note", "form-factor", "more-or-less"}
 _KIND = {word: kind for kind, words in NAMED.items() for word in words.split()}
 ELEMENT = {
     "nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form",
@@ -93,6 +95,12 @@ class Tree:
         return len(self.parent) - 1
 
 
+def kind_of(name: str) -> str | None:
+    """The kind of a hyphenated name: its own, else that of its last word (what it is), else of its first (what it is of)."""
+    parts = [] if name in ORDINARY else name.split("-")
+    return next((_KIND[w] for w in (name, *parts[-1:], *parts[:1]) if w in _KIND), None)
+
+
 _element_memo: dict[tuple[str, str], list[int]] = {}
 
 
@@ -107,8 +115,8 @@ def element_features(tag: str, rest: str) -> list[int]:
         for m in _NAME.finditer(rest):
             value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().replace("_", "-")
             for word in _WORD.findall(value):
-                kinds = [_KIND[word]] if word in _KIND else [_KIND[w] for w in word.split("-") if w in _KIND]
-                found.update("name_" + k for k in kinds)
+                if kind := kind_of(word):
+                    found.add("name_" + kind)
         if _HIDDEN.search(rest):
             found.add("name_note")
     out = sorted(_INDEX[x] for x in found)

@@ -1,7 +1,7 @@
 """Language ID by error-correcting output codes over hashed byte n-grams.
 
 Each language has a codeword; one linear n-gram classifier per bit is fitted on a bounded
-sample (PER_LANGUAGE rows a language, MOST_LANGUAGES languages at most).  A text's bits
+sample (PER_LANGUAGE rows a language, MOST_ROWS in all) in one task.  A text's bits
 have margins; decoding sums each codeword's logistic loss, weighted by how well its bit
 was learned, and takes the nearest codeword.  ``ambiguous`` marks a text whose second
 codeword is nearly as near.
@@ -13,21 +13,22 @@ are ignored.
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc32_mod, first_by_hash
 
-PER_LANGUAGE, MOST_LANGUAGES = 400, 128
+PER_LANGUAGE, MOST_ROWS = 400, 6400
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
 AMBIGUOUS = 0.7  # a score below it
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case; other ASCII becomes a word break.
 _FOLD = np.array([b if b > 127 else (b | 32 if chr(b).isalpha() else 32) for b in range(256)], np.uint32)
 
@@ -77,12 +78,16 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
 
 
 def train(texts: list, langs: list, steps: int = 150) -> Model:
+    return train_profiles([profile(t or "") for t in texts], langs, steps)
+
+
+def train_profiles(profiles: list[np.ndarray], langs: list, steps: int = 150) -> Model:
     """Logistic regression per bit on profiles scaled by the root of their mean, by accelerated gradients."""
     names = sorted(set(langs))
     codes = codewords(len(names))
     if len(names) < 2:
         return Model(names, codes, np.zeros((BUCKETS, codes.shape[1]), np.float32), np.ones(codes.shape[1]) * 5, np.ones(codes.shape[1]))
-    x = np.stack([profile(t or "") for t in texts])
+    x = np.stack(profiles)
     root = np.sqrt(x.mean(axis=0) + 1e-7).astype(np.float32)
     x /= root
     own = np.array([names.index(g) for g in langs])
@@ -118,14 +123,28 @@ def identify(model: Model, text: str | None) -> tuple[str, float, bool]:
 
 
 def fit(docs: DataFrame, learnable: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from a bounded sample: each language's first rows by a hash of their id."""
+    """A model from a bounded sample: each language's first rows by a hash of their id.
+
+    One task turns the sample's texts into profiles, batch by batch, and trains on them;
+    the driver sees the model alone.
+    """
     known = docs.select("doc_id", "lang").where("lang is not null and doc_id is not null")
     known = known.where(learnable) if learnable is not None else known
-    few = first_by_hash(known, "lang", per_language).orderBy("rank", "lang").limit(per_language * MOST_LANGUAGES).select("doc_id").distinct()
-    rows = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id")  # bounded ids
-    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang").collect()
-    found = [r for r in found if r[0] and _LETTER.search(r[0])]
-    return train([r[0] for r in found], [r[1] for r in found])
+    few = first_by_hash(known, "lang", per_language).orderBy("rank", "lang").limit(MOST_ROWS).select("doc_id").distinct()
+    rows = docs.where("lang is not null").select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id")  # MOST_ROWS ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles, langs = [], []
+        for batch in batches:
+            for text, lang in zip(*batch.columns, strict=True):
+                if (t := text.as_py()) and _LETTER.search(t):
+                    profiles.append(profile(t))
+                    langs.append(lang.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_profiles(profiles, langs))], pa.binary())], ["model"])
+
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text").select("text", "lang")
+    found = ordered.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else train([], [])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable
+from .common import durable, keep_rows, row_key
 from .components import connected_components
 
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 2
@@ -51,14 +51,15 @@ def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, row_key, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((simhash(x.as_py(), width, seed) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((simhash(x.as_py(), width, seed) for x in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    picked = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("row_key"), F.col("text").cast("string"))
+    return picked.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def links(codes: DataFrame) -> DataFrame:
@@ -73,14 +74,29 @@ def links(codes: DataFrame) -> DataFrame:
     return met.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
 
 
+def rooted_codes(fps: DataFrame) -> DataFrame:
+    """(fp, root), written: one fingerprint of each component for all of its fingerprints."""
+    codes = durable(fps.select("fp").distinct())
+    parts = connected_components(links(codes)).select(F.col("node").alias("fp"), "root")
+    return durable(codes.join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id."""
     fps = durable(fingerprints(docs))
-    codes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(links(codes)).select(F.col("node").alias("fp"), "root")
-    rooted = durable(codes.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = rooted_codes(fps)
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    least = rooted.join(first, "fp").groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_code = rooted.join(least, "root").select("fp", "component_id")
     return fps.join(by_code, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_copies(docs: DataFrame) -> DataFrame:
+    """Of each component the row with the smallest doc_id (then row_key) stays, one without an id only where none has one."""
+    fps = durable(fingerprints(docs))
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key"))
+    first = fps.groupBy("fp").agg(row.alias("row"))
+    kept = rooted_codes(fps).join(first, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    return keep_rows(docs, kept.select("row.doc_id", "row.row_key"))
