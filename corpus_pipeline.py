@@ -1,9 +1,11 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again.
 
-Defined cases: rows that repeat a doc_id count as one document and stay or go together;
-rows without a doc_id can't be named in a decision and go with the exact copies; null and
-empty texts are clean, equal to each other, and hold no tokens, so the mixing leaves at
-most one; an empty table passes through empty.  Only the columns of documents come out.
+Defined cases: a row without a doc_id is a document of its own, kept or dropped by its text
+like any other, but in the mixing, where such rows of a leaf are placed together; rows that
+repeat a doc_id with different texts are told apart by the text until then; null and empty
+texts are clean, equal to each other, and hold no tokens, so one of them stays at most; an
+empty table passes through empty.  All stages but the last return the columns of documents,
+the last one doc_id, n_tokens and ids.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ MIX_SHARE, MIX_EPOCHS = 0.9, 1
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of docs whose doc_id is in ids, null being an id like any other."""
+    chosen = ids.select("doc_id").distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +36,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one document stays."""
-    return keep_ids(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    return keep_ids(docs, simhash_dedup.near_duplicates(docs).where("doc_id = component_id"))
+    return simhash_dedup.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +53,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every whole text."""
     import public_tokenizers
 
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
