@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bound of the table of groups that sampling broadcasts.
+MOST_GROUPS = 1 << 14
 #: Spark's setting that removes a query's shuffle files when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -70,14 +72,15 @@ def discard(*tables: DataFrame) -> None:
 def first_by_hash(rows: DataFrame, group: str, most: int) -> DataFrame:
     """At most ``most`` rows of each group, the first by a hash of doc_id (column rank, from 1); rows without a group go.
 
-    Counts in ranges of the hash, summed before they are shuffled, tell in which range a
-    group's sample ends; only rows up to there are sorted, however large the group.
+    Counts in 4,096 ranges of the hash, summed before they are shuffled, tell in which range
+    a group's sample ends; only rows up to there are shuffled and sorted, however large the
+    group.  Of more than MOST_GROUPS groups the first by name give a sample.
     """
-    placed = rows.where(F.col(group).isNotNull()).withColumn("range", F.shiftrightunsigned(F.xxhash64("doc_id"), 48))
+    placed = rows.where(F.col(group).isNotNull()).withColumn("range", F.shiftrightunsigned(F.xxhash64("doc_id"), 52))
     before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy(group, "range").count().withColumn("passed", F.coalesce(F.sum("count").over(before), F.lit(0)))
     last = counts.where(F.col("passed") < most).groupBy(group).agg(F.max("range").alias("last"))
-    few = placed.join(last, group).where("range <= last")
+    few = placed.join(F.broadcast(last.orderBy(group).limit(MOST_GROUPS)), group).where("range <= last")
     order = Window.partitionBy(group).orderBy("range", F.xxhash64("doc_id"), "doc_id")
     return few.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(*rows.columns, "rank")
 

@@ -609,7 +609,7 @@ def test_samples_are_the_first_by_hash(spark):
     from quakeframe.llm.common import first_by_hash
 
     rows = spark.range(30_000).selectExpr("id as doc_id", "if(id % 7 = 0, 'a', 'b') as lang").union(spark.createDataFrame([(1, None)], "doc_id long, lang string"))
-    hashes = {r[0]: r[1] % (1 << 64) >> 48 for r in rows.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
+    hashes = {r[0]: r[1] % (1 << 64) >> 52 for r in rows.selectExpr("doc_id", "xxhash64(doc_id)").collect()}
     got = {g: {r.doc_id for r in first_by_hash(rows, "lang", 50).collect() if r.lang == g} for g in "ab"}
     for g in "ab":
         rest = [hashes[i] for i in range(30_000) if (i % 7 == 0) == (g == "a") and i not in got[g]]
