@@ -1,13 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into two 32-bit segments.  Within each segment the Hamming ball of
-radius 1 is enumerated, the other segment kept: 1 + 32 + 32 table keys.  Rows that meet
-at a key lie within one bit of it, so within two of each other; the complete distance is
-verified.  In turn, two fingerprints at distance two always meet: at the code in which
-one of the two differing bits is changed, whichever segments those bits are in.  Unlike
-tables keyed by a bare segment, a bucket holds 65 fingerprints at most, whatever the
-size of a cluster, so work stays in proportion to the distinct fingerprints.  Links are
-kept as stars within buckets, which leaves the components as they are.
+A fingerprint is cut into two 32-bit segments, and a table for each holds the codes by
+the segment's value.  Two codes at most two bits apart differ by one bit at most in the
+first segment, or else not at all in the second: so each code enumerates the Hamming ball
+of radius 1 of its first segment and of radius 0 of its second, 33 + 1 keys, fetches the
+codes that the tables hold there, and links to those whose complete distance is small
+enough.  A bucket of more than MOST_IN_BUCKET codes (clusters of near copies share
+segments) isn't fetched, as its pairs would grow with the square: its codes meet in
+tables of the whole code with each single bit flipped, where a bucket holds 65 codes
+whatever the cluster's size, and are kept as stars there, which leaves the components as
+they are.  A code outside such buckets still finds one inside by the reverse lookup.
 
 Defined cases: a null or blank text has fingerprint zero and links like any other; rows
 that share a text share a fingerprint; rows with a null doc_id are returned, but don't
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +31,8 @@ from .common import durable, keep_rows, row_key
 from .components import connected_components
 
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 2
+#: Codes of one segment value that a lookup fetches; more meet by whole codes.
+MOST_IN_BUCKET = 64
 
 
 def simhash(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -62,16 +66,38 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
-def links(codes: DataFrame) -> DataFrame:
-    """(a, b) star links between distinct fingerprints (column fp) at 1 or 2 differing bits."""
+def _signed(x: int) -> int:
+    return x - (1 << BITS) if x >> (BITS - 1) else x
+
+
+def segment_keys(fp: Column, radii: tuple[int, int]) -> Column:
+    """Keys of both segment tables (the second's from 2**32 on), with the ball of radius 0 or 1 around each."""
+    first, second = F.shiftrightunsigned(fp, SEGMENT_BITS), fp.bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).bitwiseOR(F.lit(1 << SEGMENT_BITS))
+    flips = [1 << bit for bit in range(SEGMENT_BITS)]
+    return F.array(*[key.bitwiseXOR(F.lit(x)) for key, radius in ((first, radii[0]), (second, radii[1])) for x in [0, *(flips if radius else [])]])
+
+
+def within(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= MAX_DISTANCE
+
+
+def stars(codes: DataFrame) -> DataFrame:
+    """(a, b) star links between the codes that meet at a whole code with one bit flipped."""
     fp = F.col("fp")
-    flips = [1 << (segment + bit) for segment in range(0, BITS, SEGMENT_BITS) for bit in range(SEGMENT_BITS)]
-    signed = [x - (1 << BITS) if x >> (BITS - 1) else x for x in flips]
-    ball = F.array(fp, *[fp.bitwiseXOR(F.lit(x)) for x in signed])
+    ball = F.array(fp, *[fp.bitwiseXOR(F.lit(_signed(1 << bit))) for bit in range(BITS)])
     table = codes.select("fp", F.explode(ball).alias("key"))
-    met = table.withColumn("hub", F.min("fp").over(Window.partitionBy("key")))
-    met = met.where("fp > hub").where(F.bit_count(fp.bitwiseXOR(F.col("hub"))) <= MAX_DISTANCE)
-    return met.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    met = table.withColumn("hub", F.min("fp").over(Window.partitionBy("key"))).where("fp > hub")
+    return met.where(within(F.col("fp"), F.col("hub"))).select(F.col("hub").alias("a"), F.col("fp").alias("b"))
+
+
+def links(codes: DataFrame, most: int = MOST_IN_BUCKET) -> DataFrame:
+    """(a, b) links between distinct fingerprints (column fp) at 1 or 2 differing bits; all pairs, but stars in crowded buckets."""
+    table = codes.select(F.col("fp").alias("b"), F.explode(segment_keys(F.col("fp"), (0, 0))).alias("key"))
+    crowded = durable(table.groupBy("key").count().where(F.col("count") > most).select("key"))
+    probes = codes.select(F.col("fp").alias("a"), F.explode(segment_keys(F.col("fp"), (1, 0))).alias("key"))
+    fetched = probes.join(table.join(crowded, "key", "left_anti"), "key")
+    met = fetched.where("a <> b").where(within(F.col("a"), F.col("b"))).select("a", "b")
+    return met.union(stars(table.join(crowded, "key", "left_semi").select(F.col("b").alias("fp")).distinct()))
 
 
 def rooted_codes(fps: DataFrame) -> DataFrame:
