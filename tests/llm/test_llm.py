@@ -226,14 +226,19 @@ def test_near_duplicates_odd_rows(spark):
     assert {tuple(r) for r in got} == brute_components([r[0] for r in ODD], [brute_simhash(r[1]) for r in ODD])
 
 
-def test_links_find_all_near_codes(spark):
+@pytest.mark.parametrize("most", [64, 3, 0])
+def test_links_find_all_near_codes(spark, most):
+    """However many codes a bucket holds before they meet by whole codes."""
     rng = random.Random(1)
     codes = {rng.getrandbits(64) for _ in range(60)}
     for c in list(codes):
         codes |= {c ^ 1 << rng.randrange(64), c ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64), c ^ 7 << rng.randrange(60)}
+    base = rng.getrandbits(64)
+    for shift in (0, 32):  # a segment that 150 codes share, near and far from each other
+        codes |= {base ^ 1 << shift + k for k in range(32)} | {base ^ rng.getrandbits(32) << shift for _ in range(118)}
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     parts = {}
-    for node, root in connected_components(simhash_dedup.links(spark.createDataFrame([(c,) for c in signed], "fp long"))).collect():
+    for node, root in connected_components(simhash_dedup.links(spark.createDataFrame([(c,) for c in signed], "fp long"), most)).collect():
         parts.setdefault(root, set()).add(node % (1 << 64))
     want = {}
     for i, _, c in brute_components(list(range(len(codes))), list(codes)):
