@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quakeframe import errors
 from quakeframe.functions import duration, geometry, response, scale, units
 from quakeframe.operators import compare, design, intensity, kernels, motion, render, spatial, spectra
-from quakeframe.plans import event, queries
+from quakeframe.plans import event, queries, record_queries  # noqa: F401
 from quakeframe.sources import records
 from quakeframe.streaming import estimators
 from tests.oracle import duck_rows, spark_rows
@@ -43,7 +43,7 @@ def test_sql_oracle(spark, name, sf_dir):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == duck_rows(queries.ORACLES[name], sf_dir)
 
 
-@pytest.mark.parametrize("name", ["long_period_class", "rolling_kth_gaps_long"])
+@pytest.mark.parametrize("name", ["long_period_class", "rolling_kth_gaps_long", "event_validation", "resample_128_to_100", "text_record_waveform"])
 def test_sql_oracle_at_ten_times_the_rows(spark, name, sf_dir):
     larger = sf_dir.replace("sf0.001", "sf0.01")
     assert spark_rows(queries.QUERIES[name](spark, larger)) == duck_rows(queries.ORACLES[name], larger)
