@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -406,7 +405,7 @@ _filtered("strong_motion_displacement", [design.DISPLACEMENT_FILTER], lambda w:
 
 REALTIME = f"""{WAVE}, {cascade_sql(sos(DESIGN_2012))},
 amp AS (SELECT record_id, i, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS resultant_gal FROM flt),
-th AS (SELECT *, list_sort(list(resultant_gal) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 39 PRECEDING AND CURRENT ROW), 'DESC')[30] AS threshold_gal FROM amp),
+th AS (SELECT *, list_sort(list(resultant_gal) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 5999 PRECEDING AND CURRENT ROW), 'DESC')[30] AS threshold_gal FROM amp),
 ser AS (SELECT *, {raw_sql('threshold_gal')} AS intensity_raw FROM th),
 rt AS (SELECT *, {reported_sql('intensity_raw')} AS intensity, max(intensity_raw) OVER (PARTITION BY record_id ORDER BY i) AS record_max_intensity_raw FROM ser)"""
 SERIES_SQL = f"WITH RECURSIVE {REALTIME} SELECT record_id, i, {r6('resultant_gal', 'threshold_gal', 'i / 100.0 AS time_s', 'intensity_raw', 'intensity', 'record_max_intensity_raw')} FROM rt"
@@ -414,7 +413,7 @@ SERIES_SQL = f"WITH RECURSIVE {REALTIME} SELECT record_id, i, {r6('resultant_gal
 
 @query(SERIES_SQL)
 def realtime_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(intensity.realtime_intensity(wave(spark, sf_dir), window_s=0.4))
+    return rounded(intensity.realtime_intensity(wave(spark, sf_dir)))
 
 
 @query(
@@ -422,7 +421,7 @@ def realtime_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"{r6('max(intensity_raw) AS approximate_intensity_raw', 'max(threshold_gal) AS peak_threshold_gal', 'max(resultant_gal) AS filtered_pga_gal', 'max(intensity) AS approximate_intensity')}, {class_sql('max(intensity)')} AS approximate_class FROM rt GROUP BY record_id"
 )
 def realtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(intensity.realtime_summary(intensity.realtime_intensity(wave(spark, sf_dir), window_s=0.4)))
+    return rounded(intensity.realtime_summary(intensity.realtime_intensity(wave(spark, sf_dir))))
 
 
 METHODS_SQL = f"""
@@ -436,7 +435,7 @@ FROM m JOIN s USING (record_id)"""
 
 @query(METHODS_SQL)
 def compare_intensity_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compare.compare_intensity_methods(wave(spark, sf_dir), realtime_options={"window_s": 0.4}))
+    return rounded(compare.compare_intensity_methods(wave(spark, sf_dir)))
 
 
 # -- oscillators -----------------------------------------------------------------------
@@ -521,7 +520,7 @@ def latest(df: DataFrame, *keys: str) -> DataFrame:
 
 @query(SERIES_SQL)
 def realtime_intensity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streamed(spark, wave(spark, sf_dir), partial(estimators.realtime_intensity_stream, window_s=0.4), "append")
+    out = streamed(spark, wave(spark, sf_dir), estimators.realtime_intensity_stream, "append")
     return rounded(out.drop("batch"))
 
 
