@@ -256,7 +256,8 @@ def delaunay(points: np.ndarray) -> np.ndarray:
         new = np.column_stack([rim, np.full(len(rim), k)])
         tri, circle = np.vstack([tri[~bad], new]), np.vstack([circle[~bad], _circles(p, new)])
     tri = np.sort(tri[(tri < n).all(axis=1)], axis=1)
-    area = np.abs(np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])) if len(tri) else np.zeros(0)
+    b, c = p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]]
+    area = np.abs(b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
     tri = tri[area > 1e-14]
     if not len(tri):
         raise ValueError("the stations can't be triangulated: they lie on a line; use idw or nearest")
