@@ -150,8 +150,8 @@ for _b in range(256):
         _WORD_BYTE[_b] = _b
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of data and each word's first byte position.
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of data, each word's first byte position and the one after it, and the folded bytes.
 
     Words are runs of ASCII letters or digits (case-folded) and non-ASCII bytes.  The
     hash is polynomial, from prefix sums with wrap-around, so no word is looped over.
@@ -168,4 +168,9 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
-    return h, starts
+    return h, starts, ends, raw
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first positions of ``word_spans``."""
+    return word_spans(data)[:2]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, html_extract, langid, line_dedup, media, mixing, simhash_dedup, toxicity, url_filter
+from . import bpe, conversation_trie, exact_dedup, html_extract, langid, lexical, line_dedup, media, mixing, simhash_dedup, token_store, toxicity, url_filter
 from .common import table
 
 
@@ -50,11 +50,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_store.stored_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_simhash_near_dedup, op3_url_filters, op4_line_dedup, op5_exact_dedup, op6_toxicity, op7_mixing,
-        op8_media_columns, op9_language_id, op10_bpe,
+        op8_media_columns, op9_language_id, op10_bpe, op11_token_store, op12_ranked_search, op13_conversation_trie,
     )
 }
 
@@ -121,4 +135,51 @@ SELECT doc_id, domain, lang, source, epoch::INTEGER AS epoch, n_tokens::BIGINT A
 """
 
 
-ORACLES = {"op3_url_filters": _OP3, "op5_exact_dedup": _OP5, "op7_mixing": _op7_sql()}
+_OP12 = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+len AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+stats AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM len),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+  ) GROUP BY ALL
+), w AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stats GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN len USING (doc_id), stats GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+) WHERE rank <= 10
+"""
+
+_OP13 = r"""
+WITH own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns FROM conversations GROUP BY conv_id
+), h AS (
+  SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+                            lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 4 AS h
+  FROM own
+), conv AS (
+  SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM h a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+), steps AS (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS depth FROM conv),
+prefixes AS (SELECT conv_id, depth, md5(turns[1:depth]::JSON::VARCHAR) AS node, md5(turns[1:depth - 1]::JSON::VARCHAR) AS up, turns[depth].t AS last, depth = len(turns) AS ends FROM steps),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(up) AS up,
+         (count(*) - 1) * (CASE WHEN depth = 0 THEN 0 ELSE any_value(len(regexp_extract_all(last, '[^ 	-
+]+'))) END) AS own,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, node
+), kids AS (SELECT depth - 1 AS depth, up AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.depth = n.depth AND k.node = n.node),
+below AS (
+  SELECT p.depth, p.node, sum(f.own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE f.n_children = 0) AS n_leaves
+  FROM full_nodes f JOIN prefixes p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY ALL
+)
+SELECT f.conv_id, f.depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves, b.saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN below b ON b.depth = f.depth AND b.node = f.node LEFT JOIN nodes u ON u.depth = f.depth - 1 AND u.node = f.up
+"""
+
+ORACLES = {"op12_ranked_search": _OP12, "op13_conversation_trie": _OP13, "op3_url_filters": _OP3, "op5_exact_dedup": _OP5, "op7_mixing": _op7_sql()}

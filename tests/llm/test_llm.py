@@ -58,7 +58,7 @@ def test_sql_oracle(spark, name, sf):
 
 
 def test_every_query_on_empty_tables(spark, tmp_path):
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in queries.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
