@@ -39,9 +39,9 @@ from pyspark.sql.window import Window
 from .common import durable, slices, word_spans
 
 #: Bytes of text of one block, queries of one pass over the index, queries that advance together.
-BLOCK, QUERIES, TOGETHER = 1 << 22, 4096, 64
+BLOCK, QUERIES, TOGETHER = 1 << 21, 4096, 32
 #: Intervals of each query that one step splits.
-SPLITS = 64
+SPLITS = 32
 #: Share of the document's length in the score, of 100 (fixed value of the formula).
 LENGTH_SHARE = 75
 _LAST = np.iinfo(np.int64).max
