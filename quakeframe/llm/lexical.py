@@ -39,7 +39,7 @@ from pyspark.sql.window import Window
 from .common import durable, slices, word_spans
 
 #: Bytes of text of one block, queries of one pass over the index, queries that advance together.
-BLOCK, QUERIES, TOGETHER = 1 << 21, 4096, 32
+BLOCK, QUERIES, TOGETHER = 1 << 20, 4096, 32
 #: Intervals of each query that one step splits.
 SPLITS = 32
 #: Share of the document's length in the score, of 100 (fixed value of the formula).
@@ -76,15 +76,17 @@ def build_index(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks() -> Iterator[tuple[list, list]]:
             ids, texts, size = [], [], 0
-            for batch in batches:
-                keys, values = batch.column(0).fill_null(_LAST).to_pylist(), batch.column(1).to_pylist()
-                for i, j in slices(values, BLOCK // 4):
-                    ids += keys[i:j]
-                    texts += values[i:j]
-                    size += sum(len(t) for t in values[i:j] if t)
-                    if size >= BLOCK:
-                        yield ids, texts
-                        ids, texts, size = [], [], 0
+            for whole in batches:
+                for start in range(0, whole.num_rows, 256):
+                    batch = whole.slice(start, 256)
+                    keys, values = batch.column(0).fill_null(_LAST).to_pylist(), batch.column(1).to_pylist()
+                    for i, j in slices(values, BLOCK // 4):
+                        ids += keys[i:j]
+                        texts += values[i:j]
+                        size += sum(len(t) for t in values[i:j] if t)
+                        if size >= BLOCK:
+                            yield ids, texts
+                            ids, texts, size = [], [], 0
             if ids:
                 yield ids, texts
 
@@ -132,7 +134,7 @@ class Queries:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            yield {name: np.frombuffer(batch.column(c)[k].as_buffer(), kind) for c, (name, kind) in enumerate(_FIELDS)}
+            yield {name: np.frombuffer(batch.column(name)[k].as_buffer(), kind) for name, kind in _FIELDS if name in batch.schema.names}
 
 
 def frequencies(index: DataFrame, queries: Queries) -> np.ndarray:
@@ -147,7 +149,7 @@ def frequencies(index: DataFrame, queries: Queries) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["term", "df"])
 
     df = np.zeros(len(queries.words), np.int64)
-    for r in index.mapInArrow(run, "term long, df long").groupBy("term").sum("df").collect():  # a row for each term of a chunk
+    for r in index.select("hashes", "letters", "ends", "offsets").mapInArrow(run, "term long, df long").groupBy("term").sum("df").collect():  # a row for each term of a chunk
         df[r[0]] = r[1]
     return df
 
