@@ -40,19 +40,19 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **options: object) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder and read it back.
 
     Lost executors lose nothing of it, and what stands above isn't computed twice.  The
     write's own shuffle files go with it, as a job of many steps would otherwise keep them
-    all to its end.
+    all to its end.  options: of the Parquet writer.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quakeframe-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     found = spark.read.schema(df.schema).parquet(path)

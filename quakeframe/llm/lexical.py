@@ -40,12 +40,14 @@ from .common import durable, slices, word_spans
 
 #: Bytes of text of one block, queries of one pass over the index, queries that advance together.
 BLOCK, QUERIES, TOGETHER = 1 << 20, 4096, 32
+#: Bytes of blocks that are written and read at once.
+ROW_GROUP = 1 << 22
 #: Intervals of each query that one step splits.
 SPLITS = 32
 #: Share of the document's length in the score, of 100 (fixed value of the formula).
 LENGTH_SHARE = 75
 _LAST = np.iinfo(np.int64).max
-_FIELDS = (("ids", np.int64), ("lengths", np.int64), ("hashes", np.uint64), ("letters", np.uint8), ("ends", np.int64), ("offsets", np.int64), ("docs", np.int32), ("tfs", np.int32))
+_FIELDS = (("ids", np.int64), ("lengths", np.int64), ("hashes", np.uint64), ("letters", np.uint8), ("ends", np.int32), ("offsets", np.int32), ("docs", np.int32), ("tfs", np.int32))
 _INDEX = ", ".join(f"{name} binary" for name, _ in _FIELDS)
 
 
@@ -94,7 +96,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             arrays = index_block(np.array(ids, np.int64), texts)
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, k).tobytes()], pa.binary()) for a, (_, k) in zip(arrays, _FIELDS, strict=True)], schema=kind)
 
-    return durable(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX))
+    blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX)
+    return durable(blocks, **{"parquet.block.size": ROW_GROUP})
 
 
 @dataclass
