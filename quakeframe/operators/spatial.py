@@ -1,32 +1,30 @@
 """Station values on grids: nearest, inverse-distance and linear interpolation.
 
 A plan is a weight table (row, col, station_id, weight) that later frames of values join
-and sum.  Cells and stations meet on cubes of the unit sphere whose side is the search
-radius: a cell looks in its own and the 26 cubes around it, so the search is an equi-join
-that stays in proportion to near pairs.  The nearest station is searched in growing radii,
-so any number of stations is taken and the distance is true everywhere.  Inverse distance
-without a radius (extrapolation asked for) takes every station as a candidate of every
-cell; only then, and only up to MAX_STATIONS, stations are broadcast.
+and sum.  Neighbours are found in a tree of boxes on the unit sphere: stations are packed
+into leaves of even size, sixteen nodes make one above.  A cell first goes down to the
+nearest box that holds enough stations, which bounds its distance, and then visits the boxes
+within that bound alone, so what it looks at doesn't grow with the stations around it or
+with its distance from them.  Every level is one equi-join on the node's number.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
-from ..plans.storage import shared_dir
+from ..plans.storage import written
+from .tiles import even_tiles
+from .triangulation import triangulate
 
-#: Stations that a broadcast or a driver-side triangulation may hold.
-MAX_STATIONS = 20_000
+#: Stations of a leaf at least, as far as there are so many; children of a node are 2**FAN.
+LEAF, FAN = 16, 4
 
 
 @dataclass(frozen=True)
@@ -141,61 +139,74 @@ def check_stations(stations: DataFrame, minimum: int = 1) -> DataFrame:
     return out
 
 
-def _cube(p: tuple[Column, Column, Column], side: float) -> list[Column]:
-    return [F.floor(x / side).cast("int") for x in p]
-
-
-def pairs_within(cells: DataFrame, stations: DataFrame, radius_km: float | None) -> DataFrame:
-    """(row, col, station_id, distance_km) of all pairs within the radius, edge included."""
-    c = cells.select("row", "col", *[x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), ("cx", "cy", "cz"), strict=True)])
-    s = stations.select("station_id", *[x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), ("sx", "sy", "sz"), strict=True)])
-    apart = geo.chord((F.col("cx"), F.col("cy"), F.col("cz")), (F.col("sx"), F.col("sy"), F.col("sz")))
-    if radius_km is None:
-        if stations.limit(MAX_STATIONS + 1).count() > MAX_STATIONS:
-            raise ValueError(f"without a radius at most {MAX_STATIONS} stations are taken; set max_distance_km")
-        near = c.join(F.broadcast(s))
-    else:
-        side = geo.km_to_chord(radius_km) * (1 + 1e-9)
-        shifts = F.array(*[F.struct(*[F.lit(k).alias(n) for k, n in zip(t, "xyz", strict=True)]) for t in product((-1, 0, 1), repeat=3)])
-        own = [x.alias(n) for x, n in zip(_cube((F.col("cx"), F.col("cy"), F.col("cz")), side), ("kx", "ky", "kz"), strict=True)]
-        theirs = _cube((F.col("sx"), F.col("sy"), F.col("sz")), side)
-        around = s.select("*", F.explode(shifts).alias("t")).select("station_id", "sx", "sy", "sz", *[(x + F.col(f"t.{a}")).alias(n) for x, a, n in zip(theirs, "xyz", ("kx", "ky", "kz"), strict=True)])
-        near = c.select("*", *own).join(around, ["kx", "ky", "kz"])
-    near = near.select("row", "col", "station_id", geo.chord_to_km(apart).alias("distance_km"))
-    return near if radius_km is None else near.where(F.col("distance_km") <= radius_km)
-
-
-def _written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quakeframe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def nearest_pairs(cells: DataFrame, stations: DataFrame) -> DataFrame:
-    """(row, col, n (distance_km, station_id)): the nearest station of each cell that has coordinates, ties by the smallest id.
-
-    The radius starts at the stations' mean spacing and doubles for the cells that found
-    none; what is found within a radius is the nearest.  The last one spans the earth.
-    """
-    half_way = math.pi * geo.EARTH_RADIUS_KM
-    xyz = dict(zip("xyz", geo.unit_xyz(F.col("lon"), F.col("lat")), strict=True))
-    size = stations.agg(F.count(F.lit(1)).alias("n"), *[(F.max(v) - F.min(v)).alias(k) for k, v in xyz.items()]).first()
-    widest = max(size.x or 0.0, size.y or 0.0, size.z or 0.0)
-    radius = min(max(widest * geo.EARTH_RADIUS_KM / math.sqrt(max(size.n, 1)), 1.0), half_way)
-    left, found = _written(cells.select("row", "col", "lat", "lon")), []
-    while True:
-        near = pairs_within(left, stations, radius if radius < half_way else half_way * (1 + 1e-9))
-        found.append(_written(near.groupBy("row", "col").agg(F.min(F.struct("distance_km", "station_id")).alias("n"))))
-        if radius >= half_way or not size.n:
-            break
-        left = _written(left.join(found[-1], ["row", "col"], "left_anti"))
-        if left.isEmpty():
-            break
-        radius = min(radius * 2, half_way)
-    best = found[0]
-    for more in found[1:]:
-        best = best.union(more)
-    return best
+_BOX = ("x0", "x1", "y0", "y1", "z0", "z1")
+
+
+def _least_chord(box: Column) -> Column:
+    """From the cell (cx, cy, cz) to a box."""
+    gaps = [F.greatest(box[f"{a}0"] - F.col(f"c{a}"), F.col(f"c{a}") - box[f"{a}1"], F.lit(0.0)) for a in "xyz"]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def _greatest_chord(box: Column) -> Column:
+    gaps = [F.greatest(F.abs(box[f"{a}0"] - F.col(f"c{a}")), F.abs(box[f"{a}1"] - F.col(f"c{a}"))) for a in "xyz"]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
+def station_tree(stations: DataFrame, leaf: int = LEAF) -> list[DataFrame]:
+    """Levels of (node, kids), written: kids are stations in leaves, and boxes with the number of their stations above; the last level is one node."""
+    xyz = [x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), "xyz", strict=True)]
+    rows = stations.select("station_id", "lat", "lon", *xyz)
+    tiles = even_tiles(rows, "lat", "lon", leaf, rows.count())
+    dealt = tiles.deal(rows, "lat", "lon", code=True)
+    member = F.collect_list(F.struct("station_id", "x", "y", "z")).alias("kids")
+    extent = [f(a).alias(f"{a}{k}") for a in "xyz" for k, f in ((0, F.min), (1, F.max))]
+    level = written(dealt.groupBy(F.col("code").alias("node")).agg(member, F.count(F.lit(1)).alias("n"), *extent))
+    levels = [level.select("node", "kids")]
+    for _ in range(max(1, -(-2 * tiles.bits // FAN))):
+        kid = F.collect_list(F.struct("node", "n", *_BOX)).alias("kids")
+        wider = [f(f"{a}{k}").alias(f"{a}{k}") for a in "xyz" for k, f in ((0, F.min), (1, F.max))]
+        level = written(level.withColumn("up", F.shiftright("node", FAN)).groupBy(F.col("up").alias("node")).agg(kid, F.sum("n").alias("n"), *wider))
+        levels.append(level.select("node", "kids"))
+    return levels
+
+
+def nearest_stations(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame:
+    """(row, col, station_id, distance_km, rank): the k nearest stations of each cell that has coordinates, all if there are fewer; ties by the smallest id."""
+    levels = station_tree(stations, max(LEAF, 4 * k))
+    xyz = [x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), ("cx", "cy", "cz"), strict=True)]
+    at = cells.where("lat is not null and lon is not null").select("row", "col", *xyz)
+    keep = ["row", "col", "cx", "cy", "cz"]
+    slack = lambda c: c * (1 + 1e-9) + 1e-12
+    apart = lambda s: geo.chord((F.col("cx"), F.col("cy"), F.col("cz")), (s["x"], s["y"], s["z"]))
+
+    first = levels[-1].first()  # one node of at most sixteen boxes
+    top = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in kid.asDict().items()]) for kid in first["kids"]]) if first else None
+
+    def meet(rows: DataFrame, level: DataFrame, how: str) -> DataFrame:
+        return rows.withColumn("kids", top) if level is levels[-1] else rows.join(level, "node", how)
+
+    if top is None:
+        return cells.select("row", "col", F.lit(None).cast(dict(stations.dtypes)["station_id"]).alias("station_id"), F.lit(0.0).alias("distance_km"), F.lit(1).alias("rank")).limit(0)
+
+    # Down to the nearest box with k stations; the sphere's diameter bounds all.
+    down = at.withColumns({"node": F.lit(0).cast("long"), "bound": F.lit(2.0)})
+    for level in reversed(levels[1:]):
+        full = F.filter("kids", lambda b: b["n"] >= k)
+        best = F.array_min(F.transform(full, lambda b: F.struct(_least_chord(b).alias("near"), b["node"].alias("node"), _greatest_chord(b).alias("far"))))
+        down = meet(down, level, "left").withColumn("best", best)
+        down = down.select(*keep, F.col("best.node").alias("node"), F.least("bound", F.coalesce("best.far", F.lit(2.0))).alias("bound"))
+    kth = F.get(F.array_sort(F.transform("kids", apart)), F.lit(k - 1))
+    down = meet(down, levels[0], "left").select(*keep, slack(F.least("bound", F.coalesce(kth, F.lit(2.0)))).alias("bound"))
+    # All boxes within the bound, then their stations.
+    found = written(down).withColumn("node", F.lit(0).cast("long"))
+    for level in reversed(levels[1:]):
+        found = meet(found, level, "inner").select(*keep, "bound", F.explode(F.filter("kids", lambda b: _least_chord(b) <= F.col("bound"))).alias("b")).select(*keep, "bound", "b.node")
+    met = F.transform("kids", lambda s: F.struct(s["station_id"].alias("station_id"), apart(s).alias("chord")))
+    found = meet(found, levels[0], "inner").select("row", "col", F.explode(F.filter(met, lambda s: s["chord"] <= F.col("bound"))).alias("s"))
+    found = found.select("row", "col", "s.station_id", geo.chord_to_km(F.col("s.chord")).alias("distance_km"))
+    order = Window.partitionBy("row", "col").orderBy("distance_km", "station_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_plan(cells: DataFrame, stations: DataFrame, config: NearestConfig) -> DataFrame:
@@ -203,7 +214,7 @@ def nearest_plan(cells: DataFrame, stations: DataFrame, config: NearestConfig) -
 
     Unsupported cells keep the true distance to the nearest station and have no station.
     """
-    best = nearest_pairs(cells, stations)
+    best = nearest_stations(cells, stations, 1).select("row", "col", F.struct("distance_km", "station_id").alias("n"))
     inside = F.lit(True) if config.max_distance_km is None else F.col("n.distance_km") <= config.max_distance_km
     best = cells.select("row", "col").join(best, ["row", "col"], "left").withColumn("inside", F.coalesce(inside, F.lit(False)))
     return best.select(
@@ -219,8 +230,9 @@ def idw_plan(cells: DataFrame, stations: DataFrame, config: IDWConfig) -> DataFr
     radius the nearest distance is infinite.
     """
     cell = Window.partitionBy("row", "col")
-    ranked = pairs_within(cells, stations, config.max_distance_km)
-    ranked = ranked.withColumn("rank", F.row_number().over(cell.orderBy("distance_km", "station_id"))).where(F.col("rank") <= config.neighbors)
+    ranked = nearest_stations(cells, stations, config.neighbors)
+    if config.max_distance_km is not None:
+        ranked = ranked.where(F.col("distance_km") <= config.max_distance_km)
     ranked = ranked.withColumns({"neighbor_count": F.count(F.lit(1)).over(cell).cast("int"), "nearest_km": F.min("distance_km").over(cell)})
     exact = F.col("nearest_km") <= config.exact_tolerance_m / 1000
     raw = F.when(exact, F.when(F.col("rank") == 1, 1.0).otherwise(0.0)).otherwise(F.pow(F.greatest("distance_km", F.lit(1e-300)), F.lit(-config.power)))
@@ -235,76 +247,39 @@ def idw_plan(cells: DataFrame, stations: DataFrame, config: IDWConfig) -> DataFr
 # -- triangles -------------------------------------------------------------------------
 
 
-def delaunay(points: np.ndarray) -> np.ndarray:
-    """Triangles (vertex numbers in ascending order) of points in the plane, point by point.
-
-    Each new point removes the triangles whose circle holds it and joins to the edges of
-    the hole.  Bounded by MAX_STATIONS; Spark does the search for each cell's triangle.
-    """
-    n = len(points)
-    middle, span = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
-    p = np.vstack([(points - middle) / span, [[-3e3, -3e3], [3e3, -3e3], [0, 3e3]]])
-    tri = np.array([[n, n + 1, n + 2]])
-    circle = _circles(p, tri)
-    for k in range(n):
-        bad = ((circle[:, :2] - p[k]) ** 2).sum(axis=1) < circle[:, 2] * (1 + 1e-14)
-        edges = np.sort(np.concatenate([tri[bad][:, [0, 1]], tri[bad][:, [1, 2]], tri[bad][:, [2, 0]]]), axis=1)
-        rim, times = np.unique(edges, axis=0, return_counts=True)
-        rim = rim[times == 1]
-        a, b = p[rim[:, 0]] - p[k], p[rim[:, 1]] - p[k]
-        rim = rim[np.abs(a[:, 0] * b[:, 1] - a[:, 1] * b[:, 0]) > 1e-18]
-        new = np.column_stack([rim, np.full(len(rim), k)])
-        tri, circle = np.vstack([tri[~bad], new]), np.vstack([circle[~bad], _circles(p, new)])
-    tri = np.sort(tri[(tri < n).all(axis=1)], axis=1)
-    b, c = p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]]
-    area = np.abs(b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    tri = tri[area > 1e-14]
-    if not len(tri):
-        raise ValueError("the stations can't be triangulated: they lie on a line; use idw or nearest")
-    return tri[np.lexsort(tri.T[::-1])]
-
-
-def _circles(p: np.ndarray, tri: np.ndarray) -> np.ndarray:
-    """Centre and squared radius of each triangle's circle."""
-    a, b, c = p[tri[:, 0]], p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]]
-    d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-    bb, cc = (b**2).sum(axis=1), (c**2).sum(axis=1)
-    u = np.column_stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb]) / d[:, None]
-    return np.column_stack([u + a, (u**2).sum(axis=1)])
-
-
 def linear_plan(cells: DataFrame, stations: DataFrame, grid: Grid, config: LinearConfig | None = None) -> DataFrame:
     """Barycentric weights of the station triangle that holds each cell, on an azimuthal plane about the grid's centre.
 
-    Stations come to the driver for the triangulation (MAX_STATIONS at most); triangles go
-    back as a table, and cells meet them on tiles of the plane.
+    Triangles are laid on squares of about their own size, of as many sizes as there are;
+    a cell looks into the one square of each size that holds it.
     """
     config = config or LinearConfig()
     lon0, lat0 = grid.center
     x, y = geo.azimuthal_equidistant(F.col("lon"), F.col("lat"), lon0, lat0)
-    found = stations.select("station_id", x.alias("x"), y.alias("y")).orderBy("station_id").limit(MAX_STATIONS + 1).collect()
-    if not 3 <= len(found) <= MAX_STATIONS:
-        raise ValueError(f"linear interpolation takes 3 to {MAX_STATIONS} stations")
-    p = np.array([(r.x, r.y) for r in found])
+    points = stations.select("station_id", x.alias("x"), y.alias("y"))
+    size = points.agg(F.count(F.lit(1)).alias("n"), F.max(F.hypot("x", "y")).alias("far")).first()
+    if size.n < 3:
+        raise ValueError("linear interpolation takes 3 stations at least")
     distance = lambda a, b, c, d: 2 * geo.EARTH_RADIUS_KM * math.asin(min(1.0, math.sqrt(math.sin((d - b) / 2) ** 2 + math.cos(b) * math.cos(d) * math.sin((c - a) / 2) ** 2)))
-    corners = max(distance(*map(math.radians, (lon0, lat0, a, b))) for a, b in grid.corners)
-    extent = max(corners, float(np.hypot(*p.T).max()))
+    extent = max(size.far, *(distance(*map(math.radians, (lon0, lat0, a, b))) for a, b in grid.corners))
     if extent > config.maximum_extent_km:
         raise ValueError(f"stations and grid span {extent:.0f} km from their centre, over maximum_extent_km={config.maximum_extent_km:.0f}")
-    tri = delaunay(p)
-    tile = max(float(np.median(np.ptp(p[tri], axis=1).max(axis=1))), 1e-6)
-    rows = [(k, *(found[v].station_id for v in t), *map(float, p[t].ravel())) for k, t in enumerate(tri)]
-    kind = dict(stations.dtypes)["station_id"]
-    spark = cells.sparkSession
-    shapes = spark.createDataFrame(rows, f"triangle int, s0 {kind}, s1 {kind}, s2 {kind}, x0 double, y0 double, x1 double, y1 double, x2 double, y2 double")
+    shapes = triangulate(points)
+    wide = F.greatest(*[F.expr(f"greatest({a}0, {a}1, {a}2) - least({a}0, {a}1, {a}2)") for a in "xy"])
+    shapes = shapes.withColumn("level", F.ceil(F.log2(wide)).cast("int"))
+    sizes = [r[0] for r in shapes.select("level").distinct().collect()]  # powers of two, a few dozen at most
+    if not sizes:
+        raise ValueError("the stations can't be triangulated: they lie on a line; use idw or nearest")
+    tile = F.pow(F.lit(2.0), F.col("level"))
     span = lambda names: F.sequence(F.floor(F.least(*names) / tile), F.floor(F.greatest(*names) / tile))
     placed = shapes.select("*", F.explode(span(("x0", "x1", "x2"))).alias("tx")).select("*", F.explode(span(("y0", "y1", "y2"))).alias("ty"))
-    at = cells.select("row", "col", x.alias("x"), y.alias("y")).withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
-    met = at.join(placed, ["tx", "ty"])
+    at = cells.select("row", "col", x.alias("x"), y.alias("y"), F.explode(F.array(*map(F.lit, sizes))).alias("level"))
+    at = at.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
+    met = at.join(placed, ["level", "tx", "ty"])
     det = F.expr("(y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)")
     met = met.withColumn("w0", F.expr("(y1 - y2) * (x - x2) + (x2 - x1) * (y - y2)") / det).withColumn("w1", F.expr("(y2 - y0) * (x - x2) + (x0 - x2) * (y - y2)") / det)
     met = met.withColumn("w2", 1 - F.col("w0") - F.col("w1")).where("least(w0, w1, w2) >= -1e-12")
-    one = met.groupBy("row", "col").agg(F.min_by(F.array(*[F.struct(F.col(f"s{k}").alias("station_id"), F.col(f"w{k}").alias("weight")) for k in range(3)]), "triangle").alias("v"))
+    one = met.groupBy("row", "col").agg(F.min_by(F.array(*[F.struct(F.col(f"s{k}").alias("station_id"), F.col(f"w{k}").alias("weight")) for k in range(3)]), F.struct("s0", "s1", "s2")).alias("v"))
     rows_of = one.select("row", "col", F.inline("v"))
     near = nearest_plan(cells, stations, NearestConfig(allow_extrapolation=True)).select("row", "col", "nearest_km")
     out = near.join(rows_of, ["row", "col"], "left")
@@ -327,6 +302,10 @@ def build_plan(spark: SparkSession, stations: DataFrame, grid: Grid, method: str
 
 def apply_plan(plan: DataFrame, values: DataFrame, transform: str = "identity") -> DataFrame:
     """(row, col, value, supported, nearest_km, neighbor_count) from (station_id, value); unsupported cells are null."""
+    value = F.col("value").cast("double")
+    bad = F.isnan(value) | (F.abs(value) == float("inf"))
+    stop = F.raise_error(F.concat(F.lit("the value of station "), F.col("station_id").cast("string"), F.lit(" is not finite"))).cast("double")
+    values = values.withColumn("value", F.when(bad, stop).otherwise(value))
     moved = values.select("station_id", geo.forward_transform(F.col("value"), transform).alias("_v"))
     joined = plan.join(moved, "station_id", "left")
     missing = F.raise_error(F.concat(F.lit("no value for station "), F.col("station_id").cast("string")))

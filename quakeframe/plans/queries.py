@@ -591,19 +591,12 @@ def aeqd_sql(source: str, lon0: float, lat0: float, keys: str) -> str:
     )
 
 
-NATIONS = "nat AS (SELECT n_nationkey AS station_id, 33 + (n_nationkey * 0.6180339887 + 0.1) % 1 * 4 AS lat, 133 + (n_nationkey * n_nationkey * 0.4142135623 + 0.2) % 1 * 5 AS lon, 0.7 * n_regionkey + n_nationkey AS value FROM nation)"
 LINEAR_GRID = spatial.Grid(133.0, 33.0, 138.0, 37.0, (1, 1))
 CIRC = "(a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y))"
 
 
-def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey").cast("double")
-    lat, lon = 33 + (k * 0.6180339887 + 0.1) % 1 * 4, 133 + (k * k * 0.4142135623 + 0.2) % 1 * 5
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("station_id"), lat.alias("lat"), lon.alias("lon"), (0.7 * F.col("n_regionkey") + k).alias("value"))
-
-
 @query(f"""
-WITH {NATIONS}, {CELLS}, p AS (SELECT * FROM {aeqd_sql('nat', 135.5, 35.0, 'station_id, value')}), g AS (SELECT * FROM {aeqd_sql('cell', 135.5, 35.0, 'row, col, lat, lon')}),
+WITH {STATION}, {CELLS}, p AS (SELECT * FROM {aeqd_sql('station', 135.5, 35.0, 'station_id, value')}), g AS (SELECT * FROM {aeqd_sql('cell', 135.5, 35.0, 'row, col, lat, lon')}),
 t AS (SELECT a.station_id AS s0, b.station_id AS s1, c.station_id AS s2, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, c.x AS x2, c.y AS y2, a.value AS v0, b.value AS v1, c.value AS v2,
   ((a.x * a.x + a.y * a.y) * (b.y - c.y) + (b.x * b.x + b.y * b.y) * (c.y - a.y) + (c.x * c.x + c.y * c.y) * (a.y - b.y)) / (2 * {CIRC}) AS ux,
   ((a.x * a.x + a.y * a.y) * (c.x - b.x) + (b.x * b.x + b.y * b.y) * (a.x - c.x) + (c.x * c.x + c.y * c.y) * (b.x - a.x)) / (2 * {CIRC}) AS uy
@@ -612,10 +605,10 @@ d AS (SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.station_id NOT
 w AS (SELECT g.row, g.col, v0, v1, v2, s0, s1, s2, ((y1 - y2) * (g.x - x2) + (x2 - x1) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) AS w0,
   ((y2 - y0) * (g.x - x2) + (x0 - x2) * (g.y - y2)) / ((y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)) AS w1 FROM g, d),
 f AS (SELECT row, col, any_value(w0 * v0 + w1 * v1 + (1 - w0 - w1) * v2) AS value FROM w WHERE least(w0, w1, 1 - w0 - w1) >= -1e-12 GROUP BY row, col),
-n AS (SELECT c.row, c.col, min({KM}) AS km FROM cell c, nat s GROUP BY c.row, c.col)
+n AS (SELECT c.row, c.col, min({KM}) AS km FROM cell c, station s GROUP BY c.row, c.col)
 SELECT n.row, n.col, round(value, 4) AS value, value IS NOT NULL AS supported, round(km, 4) AS nearest_km, CASE WHEN value IS NULL THEN 0 ELSE 3 END AS neighbor_count FROM n LEFT JOIN f ON f.row = n.row AND f.col = n.col""")
 def linear_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = nations(spark, sf_dir)
+    s = stations(spark, sf_dir)
     return rounded(spatial.apply_plan(spatial.linear_plan(cells(spark, sf_dir), spatial.check_stations(s, 3), LINEAR_GRID), s), 4)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quakeframe import errors
 from quakeframe.functions import duration, geometry, response, scale, units
-from quakeframe.operators import compare, design, intensity, kernels, motion, render, spatial, spectra
+from quakeframe.operators import compare, design, intensity, kernels, motion, render, spatial, spectra, triangulation
 from quakeframe.plans import event, queries, record_queries  # noqa: F401
 from quakeframe.sources import records
 from quakeframe.streaming import estimators
@@ -506,7 +506,7 @@ def test_linear_reproduces_a_plane(spark):
     rows = made.where("supported").select("value", plane.alias("want")).collect()
     assert len(rows) > 100 and all(r.value == pytest.approx(r.want, abs=1e-6) for r in rows)
     with pytest.raises(ValueError, match="line"):
-        spatial.delaunay(np.column_stack([np.arange(5.0), np.arange(5.0)]))
+        spatial.build_plan(spark, spark.createDataFrame([(k, 33.5 + k / 2, 135.5, 1.0) for k in range(6)], stations.schema), grid, "linear")
     far = stations.unionByName(spark.createDataFrame([(99, 0.0, 0.0, 1.0)], stations.schema))
     with pytest.raises(ValueError, match="span"):
         spatial.build_plan(spark, far, grid, "linear")
@@ -514,17 +514,17 @@ def test_linear_reproduces_a_plane(spark):
 
 def test_delaunay_circles_are_empty():
     p = np.random.default_rng(4).uniform(0, 100, (60, 2))
-    tri = spatial.delaunay(p)
-    circles = spatial._circles(p, tri)
+    tri, _ = triangulation.delaunay(p)
+    circles = triangulation._circles(p, tri)
     gap = ((p[None] - circles[:, None, :2]) ** 2).sum(axis=2) - circles[:, None, 2]
     assert (gap > -1e-6).all()
-    area = np.abs(np.cross(p[tri[:, 1]] - p[tri[:, 0]], p[tri[:, 2]] - p[tri[:, 0]])).sum() / 2
+    area = np.abs(triangulation._turn(p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]])).sum() / 2
     hull = sorted(map(tuple, p))
 
     def half(points):
         out = []
         for q in points:
-            while len(out) >= 2 and np.cross(np.subtract(out[-1], out[-2]), np.subtract(q, out[-2])) <= 0:
+            while len(out) >= 2 and triangulation._turn(np.array(out[-2]), np.array(out[-1]), np.array(q)) <= 0:
                 out.pop()
             out.append(q)
         return out[:-1]
@@ -534,8 +534,7 @@ def test_delaunay_circles_are_empty():
     assert area == pytest.approx(want, rel=1e-9)
 
 
-def test_nearest_takes_any_number_of_stations(spark, monkeypatch):
-    monkeypatch.setattr(spatial, "MAX_STATIONS", 2)
+def test_nearest_takes_any_number_of_stations(spark):
     rng = np.random.default_rng(4)
     at = np.vstack([rng.uniform((34.9, 134.9), (35.1, 135.1), (30, 2)), [[-35.0, -45.0]]])
     cells = np.vstack([rng.uniform((30, 130), (40, 140), (20, 2)), [[-10.0, 20.0], [at[0, 0], at[0, 1]]]])
