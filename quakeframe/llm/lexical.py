@@ -41,7 +41,7 @@ from .common import durable, slices, word_spans
 #: Bytes of text of one block, queries of one pass over the index, queries that advance together.
 BLOCK, QUERIES, TOGETHER = 1 << 20, 4096, 32
 #: Bytes of blocks that are written and read at once.
-ROW_GROUP = 1 << 22
+ROW_GROUP = 1 << 21
 #: Intervals of each query that one step splits.
 SPLITS = 32
 #: Share of the document's length in the score, of 100 (fixed value of the formula).
@@ -97,7 +97,9 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(a, k).tobytes()], pa.binary()) for a, (_, k) in zip(arrays, _FIELDS, strict=True)], schema=kind)
 
     blocks = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _INDEX)
-    return durable(blocks, **{"parquet.block.size": ROW_GROUP})
+    # Rows are large: Parquet is told to look at its buffer after each of them.
+    looks = {f"parquet.{what}.size.row.check.{end}": 1 for what in ("page", "block") for end in ("min", "max")}
+    return durable(blocks, **{"parquet.block.size": ROW_GROUP, **looks})
 
 
 @dataclass
