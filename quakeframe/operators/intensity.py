@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from ..errors import InsufficientDataError, InvalidAccelerationError
 from ..functions import scale
 from ..functions.duration import duration_sample_count
-from . import design, kernels
+from . import blocks, design, kernels
 from .motion import check_rate, components_of, convert_waveform, ordered_window, resultant
 
 
@@ -54,34 +54,38 @@ def measured_filter(df: DataFrame, rate: float = 100.0, unit: str = "gal") -> Da
     return map_records(convert_waveform(df, unit), lambda x: kernels.measured_filter(x, rate))
 
 
-def realtime_filter(df: DataFrame, made: design.Design, unit: str = "gal") -> DataFrame:
+def recursive(df: DataFrame, filters: list[kernels.BlockFilter], gain: float = 1.0, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
+    """A cascade from rest over each record; records longer than ``block`` samples run in blocks."""
+    if size := blocks.choose(df, block):
+        return blocks.filtered(df, components_of(df), filters, gain, size)
+    return map_records(df, lambda x: kernels.filter_series(filters, x)[0] * gain)
+
+
+def realtime_filter(df: DataFrame, made: design.Design, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """The causal intensity filter from rest."""
-    filters = kernels.cascade(made.sos)
-    return map_records(convert_waveform(df, unit), lambda x: kernels.filter_series(filters, x)[0])
+    return recursive(convert_waveform(df, unit), kernels.cascade(made.sos), block=block)
 
 
-def high_pass(df: DataFrame, rate: float = 100.0, unit: str = "gal") -> DataFrame:
+def high_pass(df: DataFrame, rate: float = 100.0, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """The 20-second high-pass from rest."""
     numerator, denominator, gain = design.design_high_pass(check_rate(rate))
-    filters = [kernels.direct_form(numerator, denominator)]
-    return map_records(convert_waveform(df, unit), lambda x: kernels.filter_series(filters, x)[0] * gain)
+    return recursive(convert_waveform(df, unit), [kernels.direct_form(numerator, denominator)], gain, block)
 
 
-def _published(df: DataFrame, pair: tuple, rate: float, unit: str) -> DataFrame:
+def _published(df: DataFrame, pair: tuple, rate: float, unit: str, block: int | None) -> DataFrame:
     if abs(float(rate) - design.STANDARD_RATE_HZ) > 1e-9:
         raise ValueError(f"this filter is published for 100 Hz only, not {rate:g} Hz")
-    filters = [kernels.direct_form(*pair)]
-    return map_records(convert_waveform(df, unit), lambda x: kernels.filter_series(filters, x)[0])
+    return recursive(convert_waveform(df, unit), [kernels.direct_form(*pair)], block=block)
 
 
-def strong_motion_velocity(df: DataFrame, rate: float = 100.0, unit: str = "gal") -> DataFrame:
+def strong_motion_velocity(df: DataFrame, rate: float = 100.0, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """Velocity in cm/s by the published recursive filter with a 5-second cutoff."""
-    return _published(df, design.VELOCITY_FILTER, rate, unit)
+    return _published(df, design.VELOCITY_FILTER, rate, unit, block)
 
 
-def strong_motion_displacement(df: DataFrame, rate: float = 100.0, unit: str = "gal") -> DataFrame:
+def strong_motion_displacement(df: DataFrame, rate: float = 100.0, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """Displacement in cm as a mechanical seismometer (6 s, damping 0.55) shows it."""
-    return _published(df, design.DISPLACEMENT_FILTER, rate, unit)
+    return _published(df, design.DISPLACEMENT_FILTER, rate, unit, block)
 
 
 def resample(df: DataFrame, original: float, target: float = 100.0, max_denominator: int = 100_000, beta: float = 5.0) -> DataFrame:
@@ -153,17 +157,14 @@ def scale_to_intensity(df: DataFrame, target_raw: float, rate: float = 100.0, un
 SERIES = "i long, resultant_gal double, threshold_gal double"
 
 
-def rolling_thresholds(size: np.ndarray, rank: kernels.RollingRank) -> list[float | None]:
-    return [rank.update(v) for v in size.tolist()]
-
-
 def realtime_intensity(
     df: DataFrame, rate: float = 100.0, unit: str = "gal", filter_name: str = "auto", made: design.Design | None = None, window_s: float = 60.0,
-    duration_s: float = 0.3, policy: str = "ceil", warn: bool = True,
+    duration_s: float = 0.3, policy: str = "ceil", warn: bool = True, block: int | None = blocks.BLOCK_SAMPLES, keep_components: bool = False,
 ) -> DataFrame:
     """One row per sample: causal filter, rolling duration threshold over the latest window, intensity and its running maximum.
 
-    Undefined until the window holds enough samples (null).
+    Undefined until the window holds enough samples (null).  keep_components: the filtered
+    components filtered_c0, ... as well.  Records longer than ``block`` samples run in blocks.
     """
     rate = check_rate(rate, warn)
     made = made or design.design_realtime_filter(rate, filter_name)
@@ -172,25 +173,36 @@ def realtime_intensity(
     design.warn_corners(made)
     count, window = duration_sample_count(duration_s, rate, policy), duration_sample_count(window_s, rate, "nearest")
     names, filters = components_of(df), kernels.cascade(made.sos)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, x, _ = samples_of(pdf, names)
-        y, _ = kernels.filter_series(filters, x)
-        size = np.sqrt((y**2).sum(axis=1))
-        thresholds = rolling_thresholds(size, kernels.RollingRank(window, count))
-        return pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "i": i, "resultant_gal": size, "threshold_gal": np.array(thresholds, float)})
-
-    kind = dict(df.dtypes)["record_id"]
-    out = convert_waveform(df, unit).select("record_id", F.col("i").cast("long"), *names).groupBy("record_id").applyInPandas(run, f"record_id {kind}, {SERIES}")
-    return intensity_columns(out, rate)
-
-
-def intensity_columns(series: DataFrame, rate: float) -> DataFrame:
+    df = convert_waveform(df, unit)
+    kept = [f"filtered_{c}" for c in names]
+    if size := blocks.choose(df, block):
+        y = blocks.filtered(df, names, filters, 1.0, size).withColumn("resultant_gal", resultant(names))
+        out = blocks.ranked(y, "resultant_gal", window, count, size)
+        out = out.select("record_id", "i", "resultant_gal", F.col("kth").alias("threshold_gal"), *[F.col(c).alias(k) for c, k in zip(names, kept, strict=True)])
+    else:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            i, x, have = samples_of(pdf, names)
+            y, _ = kernels.filter_series(filters, x)
+            size = np.sqrt((y**2).sum(axis=1))
+            made = pd.DataFrame({"record_id": pdf["record_id"].iloc[0], "i": i, "resultant_gal": size, "threshold_gal": kernels.rolling_rank(size, window, count)})
+            return made.assign(**{k: y[:, have.index(c)] if c in have else np.nan for c, k in zip(names, kept, strict=True)})
+
+        kind = dict(df.dtypes)["record_id"]
+        schema = f"record_id {kind}, {SERIES}, " + ", ".join(f"{k} double" for k in kept)
+        out = df.select("record_id", F.col("i").cast("long"), *names).groupBy("record_id").applyInPandas(run, schema)
+    out = intensity_columns(out, rate, size)
+    return out.withColumns({k: F.nanvl(F.col(k), F.lit(None)) for k in kept}) if keep_components else out.drop(*kept)
+
+
+def intensity_columns(series: DataFrame, rate: float, block: int | None = None) -> DataFrame:
     """Adds time, raw and reported intensity and running maximum to (record_id, i, resultant_gal, threshold_gal)."""
     threshold = F.nanvl(F.col("threshold_gal"), F.lit(None).cast("double"))
     out = series.withColumn("threshold_gal", threshold).withColumn("time_s", F.col("i") / F.lit(float(rate)))
     out = out.withColumn("intensity_raw", scale.intensity_series(F.col("threshold_gal")))
     out = out.withColumn("intensity", scale.report_intensity(F.col("intensity_raw")))
+    if block:
+        return blocks.running(out.withColumn("record_max_intensity_raw", F.col("intensity_raw")), ["record_max_intensity_raw"], block, "max")
     return out.withColumn("record_max_intensity_raw", F.max("intensity_raw").over(ordered_window().rowsBetween(Window.unboundedPreceding, 0)))
 
 
@@ -209,25 +221,30 @@ def realtime_summary(series: DataFrame) -> DataFrame:
     return out.withColumn("approximate_class", scale.classify_intensity(F.col("approximate_intensity")))
 
 
-def rolling_kth_largest(series: DataFrame, window: int, k: int, value: str = "x") -> DataFrame:
+def rolling_kth_largest(series: DataFrame, window: int, k: int, value: str = "x", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """Adds ``kth``: the exact k-th largest of the latest ``window`` values of each record, null until k came.
 
     A null value takes a place in the window, but has no rank.
-    A window of up to a few dozen rows stays a sorted array in SQL; a longer one is a
-    sorted list in a kernel, as re-sorting each frame costs its length every row.
+    A window of up to a few dozen rows stays a sorted array in SQL, as re-sorting each frame
+    costs its length every row; for a longer one all windows descend a wavelet matrix
+    together, in blocks where a record is longer than ``block`` and numbered without gaps.
     """
     if not 1 <= k <= window:
         raise ValueError("k must lie between one and the window")
     if window <= 64:
         frame = ordered_window().rowsBetween(1 - window, 0)
         return series.withColumn("kth", F.get(F.sort_array(F.collect_list(value).over(frame), asc=False), F.lit(k - 1)))
+    found = blocks.lengths(series) if block else None
+    if found and found.greatest >= block and not found.gaps:
+        out = blocks.ranked(series, value, window, k, block)
+    else:
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i", kind="stable")
-        return pdf.assign(kth=np.array(rolling_thresholds(pdf[value].to_numpy(float), kernels.RollingRank(window, k)), float))
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("i", kind="stable")
+            return pdf.assign(kth=kernels.rolling_rank(pdf[value].to_numpy(float), window, k))
 
-    kinds = ", ".join(f"{c} {t}" for c, t in series.dtypes)
-    out = series.groupBy("record_id").applyInPandas(run, f"{kinds}, kth double")
+        kinds = ", ".join(f"{c} {t}" for c, t in series.dtypes)
+        out = series.groupBy("record_id").applyInPandas(run, f"{kinds}, kth double")
     return out.withColumn("kth", F.nanvl("kth", F.lit(None)))
 
 

@@ -29,7 +29,7 @@ class BlockFilter:
         powers[0] = np.eye(order)
         for k in range(block):
             powers[k + 1] = powers[k] @ a
-        self.block, self.powers, self.b = block, powers, b
+        self.block, self.powers, self.a, self.b, self.c, self.d = block, powers, a, b, c, d
         self.observe = np.einsum("fo,kfop->fkp", c, powers[:block])
         impulse = np.concatenate([d[:, None], np.einsum("fo,kfop,fp->fk", c, powers[: block - 1], b)], axis=1)
         lag = np.subtract.outer(np.arange(block), np.arange(block))
@@ -142,6 +142,47 @@ class RollingRank:
         return len(self.latest)
 
 
+def rolling_rank(values: np.ndarray, window: int, k: int) -> np.ndarray:
+    """The k-th largest of the latest ``window`` values at each place, NaN until k came; a NaN takes a place, but has no rank.
+
+    A wavelet matrix over the ranks of the values: each bit of a rank keeps, in the order of
+    the bits above, how many zeros came before a place, and all windows descend together.
+    """
+    if not 1 <= k <= window:
+        raise ValueError("k must lie between one and the window")
+    values = np.asarray(values, float)
+    n = len(values)
+    if not n:
+        return np.zeros(0)
+    known = ~np.isnan(values)
+    order = np.argsort(np.where(known, values, -np.inf), kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    if not known.all():  # missing values below all others
+        order = np.concatenate([np.flatnonzero(~known), order[known[order]]])
+        rank[order] = np.arange(n)
+    right = np.arange(1, n + 1)
+    left = np.maximum(right - window, 0)
+    came = np.concatenate(([0], np.cumsum(known)))
+    ready = came[right] - came[left] >= k
+    left, right, want = left[ready], right[ready], np.full(int(ready.sum()), k - 1)
+    found = np.zeros(len(left), np.int64)
+    row = rank
+    for bit in range(max(n - 1, 1).bit_length() - 1, -1, -1):
+        one = (row >> bit) & 1
+        ones = np.concatenate(([0], np.cumsum(one)))
+        a, b = ones[left], ones[right]
+        up = want < b - a  # the rank sought is among those with the bit set
+        want = np.where(up, want, want - (b - a))
+        zeros = n - ones[-1]
+        left, right = np.where(up, zeros + a, left - a), np.where(up, zeros + b, right - b)
+        found |= up.astype(np.int64) << bit
+        row = np.concatenate([row[one == 0], row[one == 1]])
+    out = np.full(n, np.nan)
+    out[ready] = values[order[found]]
+    return out
+
+
 def resample_series(x: np.ndarray, original: float, target: float, max_denominator: int = 100_000, beta: float = 5.0) -> np.ndarray:
     """Rational resampling by a Kaiser-windowed sinc low-pass, zero-padded at the edges."""
     ratio = Fraction(target / original).limit_denominator(max_denominator)

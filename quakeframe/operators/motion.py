@@ -120,18 +120,30 @@ def peak_ground_acceleration(df: DataFrame, unit: str = "gal", names: list[str]
 # -- integration -----------------------------------------------------------------------
 
 
-def integrate(df: DataFrame, rate: float = STANDARD_RATE_HZ, unit: str = "gal") -> DataFrame:
-    """Cumulative trapezoid of each component from 0: gal to cm/s (or cm/s to cm)."""
+def integrate(df: DataFrame, rate: float = STANDARD_RATE_HZ, unit: str = "gal", block: int | None = None) -> DataFrame:
+    """Cumulative trapezoid of each component from 0: gal to cm/s (or cm/s to cm).
+
+    block: sums run within blocks of so many samples and over the blocks before, so that a
+    long record is many tasks; without it they run along each record.
+    """
     half = 0.5 / check_rate(rate, warn=False)
-    running = ordered_window().rowsBetween(Window.unboundedPreceding, 0)
     df = convert_waveform(df, unit)
     names = components_of(df)
-    steps = {c: F.coalesce((F.col(c) + F.lag(c).over(ordered_window())) * half, F.when(F.col(c).isNotNull(), F.lit(0.0))) for c in names}
+    step = lambda c, last: F.coalesce((F.col(c) + last) * half, F.when(F.col(c).isNotNull(), F.lit(0.0)))
+    if block:
+        from . import blocks
+
+        steps = blocks.previous(df, names, block)
+        steps = steps.withColumns({f"_sum_{c}": step(c, F.col(f"_last_{c}")) for c in names}).drop(*[f"_last_{c}" for c in names])
+        sums = blocks.running(steps, [f"_sum_{c}" for c in names], block, "sum")
+        return sums.withColumns({c: F.when(F.col(c).isNotNull(), F.col(f"_sum_{c}")) for c in names}).drop(*[f"_sum_{c}" for c in names])
+    running = ordered_window().rowsBetween(Window.unboundedPreceding, 0)
+    steps = {c: step(c, F.lag(c).over(ordered_window())) for c in names}
     return df.withColumns(steps).withColumns({c: F.when(F.col(c).isNotNull(), F.sum(c).over(running)) for c in names})
 
 
-def integrate_twice(df: DataFrame, rate: float = STANDARD_RATE_HZ, unit: str = "gal") -> DataFrame:
-    return integrate(integrate(df, rate, unit), rate)
+def integrate_twice(df: DataFrame, rate: float = STANDARD_RATE_HZ, unit: str = "gal", block: int | None = None) -> DataFrame:
+    return integrate(integrate(df, rate, unit, block), rate, block=block)
 
 
 def peak_ground_velocity(df: DataFrame, rate: float = STANDARD_RATE_HZ, unit: str = "gal") -> DataFrame:

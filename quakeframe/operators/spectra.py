@@ -16,57 +16,63 @@ from pyspark.sql.window import Window
 
 from ..errors import InvalidAccelerationError
 from ..functions import scale
-from . import design, kernels
+from . import blocks, design, kernels
 from .intensity import samples_of
-from .motion import check_rate, components_of, convert_waveform
+from .motion import check_rate, components_of, convert_waveform, integrate
 
 TIE_DIGITS = 6
 
 
-def oscillator_responses(df: DataFrame, periods: tuple[float, ...], damping: float, rate: float = 100.0, unit: str = "gal", series: bool = False) -> DataFrame:
+def oscillator_responses(df: DataFrame, periods: tuple[float, ...], damping: float, rate: float = 100.0, unit: str = "gal", series: bool = False, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """(record_id, period_s, component, sd_cm, sv_cm_s): peaks of relative displacement and velocity, the first sample included.
 
     series: rows per sample instead, (record_id, i, period_s, component, d_cm, v_cm_s).
+    Records longer than ``block`` samples run in blocks.
     """
     bank = kernels.BankFilter(design.oscillator_bank(periods, damping, check_rate(rate, warn=False)))
     names, t = components_of(df), np.asarray(periods, float)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, x, have = samples_of(pdf, names)
-        state, peak, kept = bank.start(x[0]), np.zeros((2, len(t), len(have))), []
+    def outcome(i: np.ndarray, x: np.ndarray, state: np.ndarray, have: list[str]) -> pd.DataFrame:
+        peak, kept = np.zeros((2, len(t), len(have))), []
         for _, y in bank.run(x, state):
             peak = np.maximum(peak, np.abs(y).max(axis=2))
             if series:
                 kept.append(y)
-        number = [names.index(c) for c in have]
-        record = pdf["record_id"].iloc[0]
+        component = [names.index(c) for c in have]
         if not series:
-            return pd.DataFrame({"record_id": record, "period_s": np.repeat(t, len(have)), "component": np.tile(number, len(t)), "sd": peak[0].ravel(), "sv": peak[1].ravel()})
+            return pd.DataFrame({"period_s": np.repeat(t, len(have)), "component": np.tile(component, len(t)), "sd_cm": peak[0].ravel(), "sv_cm_s": peak[1].ravel()})
         y = np.concatenate(kept, axis=2)
         shape = y.shape[1:]
-        grid = np.broadcast_to(np.arange(shape[0])[:, None, None], shape).ravel(), np.broadcast_to(i[None, :, None], shape).ravel(), np.broadcast_to(number, shape).ravel()
-        return pd.DataFrame({"record_id": record, "i": grid[1], "period_s": t[grid[0]], "component": grid[2], "d": y[0].ravel(), "v": y[1].ravel()})
+        grid = np.broadcast_to(np.arange(shape[0])[:, None, None], shape).ravel(), np.broadcast_to(i[None, :, None], shape).ravel(), np.broadcast_to(component, shape).ravel()
+        return pd.DataFrame({"i": grid[1], "period_s": t[grid[0]], "component": grid[2], "d_cm": y[0].ravel(), "v_cm_s": y[1].ravel()})
 
     kind = dict(df.dtypes)["record_id"]
     columns = "i long, period_s double, component int, d_cm double, v_cm_s double" if series else "period_s double, component int, sd_cm double, sv_cm_s double"
     rows = convert_waveform(df, unit).select("record_id", F.col("i").cast("long"), *names)
+    if size := blocks.choose(rows, block):
+        dealt = rows.withColumn("block", blocks.number(size))
+        out = blocks.run_blocks(dealt, names, bank.filter, columns, lambda _, i, x, state, have: outcome(i, x, state, have), bank.start)
+        return out if series else out.groupBy("record_id", "period_s", "component").agg(F.max("sd_cm").alias("sd_cm"), F.max("sv_cm_s").alias("sv_cm_s"))
 
-    def renamed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf).rename(columns={"sd": "sd_cm", "sv": "sv_cm_s", "d": "d_cm", "v": "v_cm_s"})
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, x, have = samples_of(pdf, names)
+        out = outcome(i, x, bank.start(x[0]), have)
+        out.insert(0, "record_id", pdf["record_id"].iloc[0])
+        return out
 
-    return rows.groupBy("record_id").applyInPandas(renamed, f"record_id {kind}, {columns}")
+    return rows.groupBy("record_id").applyInPandas(run, f"record_id {kind}, {columns}")
 
 
-def response_spectrum(df: DataFrame, periods: tuple[float, ...], damping: float, rate: float = 100.0, unit: str = "gal") -> DataFrame:
+def response_spectrum(df: DataFrame, periods: tuple[float, ...], damping: float, rate: float = 100.0, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """Sd, Sv and the pseudo spectra omega Sd (cm/s) and omega^2 Sd (gal) of each period and component."""
     omega = F.lit(2 * math.pi) / F.col("period_s")
-    out = oscillator_responses(df, periods, damping, rate, unit)
+    out = oscillator_responses(df, periods, damping, rate, unit, block=block)
     return out.withColumn("psv_cm_s", omega * F.col("sd_cm")).withColumn("psa_gal", omega * omega * F.col("sd_cm"))
 
 
-def spectrum_intensity(df: DataFrame, rate: float = 100.0, unit: str = "gal", damping: float = design.SI_DAMPING, periods: tuple[float, ...] | None = None) -> DataFrame:
+def spectrum_intensity(df: DataFrame, rate: float = 100.0, unit: str = "gal", damping: float = design.SI_DAMPING, periods: tuple[float, ...] | None = None, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """(record_id, component, si_cm_s): trapezoid of Sv over the periods, over the fixed width of 2.4 s whatever the periods."""
-    sv = oscillator_responses(df, periods or design.spectrum_periods(), damping, rate, unit)
+    sv = oscillator_responses(df, periods or design.spectrum_periods(), damping, rate, unit, block=block)
     return integrate_spectrum(sv)
 
 
@@ -119,10 +125,16 @@ def _horizontal(df: DataFrame) -> list[str]:
     return names
 
 
-def absolute_velocity_spectrum(df: DataFrame, rate: float = 100.0, unit: str = "gal", damping: float = design.LONG_DAMPING, periods: tuple[float, ...] | None = None, high_pass: bool = True, warn: bool = True) -> DataFrame:
-    """(record_id, period_s, sva_cm_s, sample_count) of tables with exactly the columns c0 and c1."""
+def absolute_velocity_spectrum(df: DataFrame, rate: float = 100.0, unit: str = "gal", damping: float = design.LONG_DAMPING, periods: tuple[float, ...] | None = None, high_pass: bool = True, warn: bool = True, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
+    """(record_id, period_s, sva_cm_s, sample_count) of tables with exactly the columns c0 and c1.
+
+    Records longer than ``block`` samples run in blocks: the high-pass, the ground velocity
+    and the oscillators one after another.
+    """
     names, periods = _horizontal(df), tuple(periods or design.LONG_PERIODS_S)
     kernel = LongPeriodKernel(periods, damping, check_rate(rate, warn), high_pass)
+    if size := blocks.choose(df, block):
+        return _long_in_blocks(convert_waveform(df, unit).select("record_id", F.col("i").cast("long"), *names), names, kernel, periods, size)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, x, have = samples_of(pdf, names)
@@ -137,6 +149,25 @@ def absolute_velocity_spectrum(df: DataFrame, rate: float = 100.0, unit: str = "
     return rows.groupBy("record_id").applyInPandas(run, f"record_id {kind}, period_s double, sva_cm_s double, sample_count long")
 
 
+def _long_in_blocks(rows: DataFrame, names: list[str], kernel: LongPeriodKernel, periods: tuple[float, ...], block: int) -> DataFrame:
+    if kernel.filters:
+        rows = blocks.filtered(rows, names, kernel.filters, kernel.gain, block)
+    rows = rows.withColumns({f"a{k}": F.col(c) for k, c in enumerate(names)})
+    rows = integrate(rows, kernel.rate, block=block).withColumn("block", blocks.number(block))
+    motion = ["a0", "a1"]
+
+    def finish(pdf: pd.DataFrame, i: np.ndarray, x: np.ndarray, state: np.ndarray, have: list[str]) -> pd.DataFrame:
+        if len(have) != 2:
+            raise InvalidAccelerationError(f"record {pdf['record_id'].iloc[0]} lacks a horizontal component")
+        ground, most = pdf[names].to_numpy(float), np.zeros(len(periods))
+        for first, y in kernel.bank.run(x, state):
+            most = np.maximum(most, np.sqrt(((y[1] + ground[first : first + y.shape[2]]) ** 2).sum(axis=2)).max(axis=1))
+        return pd.DataFrame({"period_s": periods, "sva_cm_s": most, "sample_count": len(x)})
+
+    out = blocks.run_blocks(rows, motion, kernel.bank.filter, "period_s double, sva_cm_s double, sample_count long", finish, kernel.bank.start)
+    return out.groupBy("record_id", "period_s").agg(F.max("sva_cm_s").alias("sva_cm_s"), F.sum("sample_count").alias("sample_count"))
+
+
 def long_period_bands(sva: DataFrame) -> DataFrame:
     """(record_id, band, max_sva_cm_s, long_period_class): whole seconds of period, for spectra on the official periods."""
     band = scale.band_of(F.round(F.col("period_s") * 10).cast("int"))

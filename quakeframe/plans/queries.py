@@ -506,9 +506,14 @@ def streamed(spark: SparkSession, rows: DataFrame, run: Callable[[DataFrame], Da
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/batch_id={number}")
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    writer = run(source).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True)
-    writer.start().awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, estimators.ROCKS)
+    try:
+        writer = run(source).writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(availableNow=True)
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.parquet(f"{base}/out").drop("batch_id")
 
 
@@ -524,6 +529,24 @@ def realtime_intensity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.drop("batch"))
 
 
+#: Every sample whose number is 20, 40, ... is a reset; the window of 12 samples fills and drops some between them.
+RESET_WAVE = WAVE.replace("SELECT user_id AS record_id, row_number()", "SELECT user_id::VARCHAR || ':' || ((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 20)::VARCHAR AS record_id, (row_number()").replace(" - 1 AS i,", " - 1) % 20 AS i,")
+RESET_SQL = f"""WITH RECURSIVE {RESET_WAVE}, {cascade_sql(sos(DESIGN_2012))},
+amp AS (SELECT record_id, i, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS resultant_gal FROM flt),
+th AS (SELECT *, list_sort(list(resultant_gal) OVER (PARTITION BY record_id ORDER BY i ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), 'DESC')[10] AS threshold_gal FROM amp),
+ser AS (SELECT *, {raw_sql('threshold_gal')} AS intensity_raw FROM th)
+SELECT split_part(record_id, ':', 1)::BIGINT AS record_id, split_part(record_id, ':', 2)::BIGINT * 20 + i AS i, {r6('resultant_gal', 'threshold_gal', 'intensity_raw')},
+       round(max(intensity_raw) OVER (PARTITION BY record_id ORDER BY i), 6) + 0.0 AS record_max_intensity_raw FROM ser"""
+
+
+@query(RESET_SQL)
+def realtime_intensity_stream_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The estimator over a window of 12 samples, with a reset at every twentieth sample."""
+    rows = wave(spark, sf_dir).withColumn("reset", (F.col("i") > 0) & (F.col("i") % 20 == 0))
+    out = streamed(spark, rows, lambda s: estimators.realtime_intensity_stream(s, window_s=0.12, duration_s=0.1), "append")
+    return rounded(out.select("record_id", "i", "resultant_gal", "threshold_gal", "intensity_raw", "record_max_intensity_raw"))
+
+
 @query(f"WITH RECURSIVE {LONG} SELECT record_id, period_s, {r6('sva AS sva_cm_s')}, n AS sample_count FROM sva")
 def long_period_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(latest(streamed(spark, wave(spark, sf_dir, TWO), estimators.long_period_stream, "update"), "record_id", "period_s"))

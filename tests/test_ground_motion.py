@@ -1,6 +1,7 @@
 """Independent numerical oracles, metamorphic properties, boundary tables and negative cases."""
 
 import math
+import time
 import warnings
 from decimal import ROUND_DOWN, ROUND_HALF_UP, Decimal
 
@@ -433,6 +434,49 @@ def test_stream_order(spark, tmp_path):
     assert got.groupBy("batch").count().count() >= 2
 
 
+def test_stream_resets(spark, tmp_path):
+    """After a reset the estimator is a new one, wherever the batches are cut and in whatever order they come."""
+    df = frame(spark, {"a": burst(900)[700:800], "b": burst(900, gain=3)[600:700]})
+    at = [0, 17, 60, 61]
+    flagged = df.withColumn("reset", F.col("i").isin(*at))
+    chunks = [flagged.where((F.col("i") >= a) & (F.col("i") < b)) for a, b in [(70, 100), (0, 18), (10, 61), (61, 75)]]
+    got = stream(spark, tmp_path, chunks, lambda s: estimators.realtime_intensity_stream(s, window_s=0.2, duration_s=0.1), "append")
+    segment = sum((F.when(F.col("i") >= k, 1).otherwise(0) for k in at), F.lit(0))
+    apart = df.withColumn("record_id", F.concat("record_id", F.lit(":"), segment.cast("string")))
+    want = intensity.realtime_intensity(apart, window_s=0.2, duration_s=0.1).withColumn("record_id", F.substring_index("record_id", ":", 1))
+    columns = ["record_id", "i", "resultant_gal", "threshold_gal", "record_max_intensity_raw"]
+    assert compare.compare_results(got.select(columns), want.select(columns), ["record_id", "i"], rtol=1e-9, atol=1e-10).count() == 0
+    long = queries.latest(stream(spark, tmp_path, [c.drop("c2") for c in chunks], estimators.long_period_stream, "update").where("sample_count = 39"), "record_id", "period_s")
+    last = spectra.absolute_velocity_spectrum(apart.drop("c2")).where("record_id like '%:4'").withColumn("record_id", F.substring_index("record_id", ":", 1))
+    assert compare.compare_results(long, last, ["record_id", "period_s"]).count() == 0
+
+
+def test_stream_state_goes_when_idle(spark, tmp_path):
+    """After the timer the record is forgotten: the same samples come again as a new record's."""
+    df = frame(spark, {"a": burst(900)[700:740]})
+    base, again = f"{tmp_path}/idle", df.withColumn("i", F.col("i") + 500)
+    for k, chunk in enumerate((df, again)):
+        chunk.coalesce(1).write.parquet(f"{base}/in/{k:03d}")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{base}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", estimators.ROCKS)
+
+    def sink(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.parquet(f"{base}/out/b={number}")
+        time.sleep(1.5)
+
+    out = estimators.realtime_intensity_stream(source, window_s=0.2, duration_s=0.1, idle_s=1.0)
+    running = out.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").foreachBatch(sink).trigger(processingTime="300 milliseconds").start()
+    for _ in range(60):
+        if running.lastProgress and running.lastProgress["batchId"] >= 3:
+            break
+        time.sleep(0.5)
+    running.stop()
+    got = sorted(spark.read.parquet(f"{base}/out").select("i", "threshold_gal").collect())
+    assert len(got) >= 40 and [r.threshold_gal for r in got[:40]][:9] == [None] * 9
+    with pytest.raises(ValueError):
+        estimators.realtime_intensity_stream(source, idle_s=0)
+
+
 # -- spatial ---------------------------------------------------------------------------
 
 
