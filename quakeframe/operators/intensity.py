@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from ..errors import InsufficientDataError, InvalidAccelerationError
 from ..functions import scale
 from ..functions.duration import duration_sample_count
-from . import blocks, design, kernels
-from .motion import check_rate, components_of, convert_waveform, ordered_window, resultant
+from . import blocks, design, fourier, kernels
+from ..plans.storage import written
+from .motion import check_rate, components_of, convert_waveform, duration_threshold, ordered_window, resultant
 
 
 def samples_of(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -48,10 +49,13 @@ def map_records(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> Da
     return out.withColumns({c: F.nanvl(F.col(c), F.lit(None)) for c in names})
 
 
-def measured_filter(df: DataFrame, rate: float = 100.0, unit: str = "gal") -> DataFrame:
-    """The intensity filter in the frequency domain over each whole record."""
+def measured_filter(df: DataFrame, rate: float = 100.0, unit: str = "gal", block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
+    """The intensity filter in the frequency domain over each whole record; transforms of records longer than ``block`` samples run in many tasks."""
     rate = check_rate(rate, warn=False)
-    return map_records(convert_waveform(df, unit), lambda x: kernels.measured_filter(x, rate))
+    df = convert_waveform(df, unit)
+    if blocks.choose(df, block):
+        return fourier.filter_whole(df, components_of(df), kernels.measured_gain, rate)
+    return map_records(df, lambda x: kernels.measured_filter(x, rate))
 
 
 def recursive(df: DataFrame, filters: list[kernels.BlockFilter], gain: float = 1.0, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
@@ -108,11 +112,12 @@ def resample(df: DataFrame, original: float, target: float = 100.0, max_denomina
 # -- measured intensity ----------------------------------------------------------------
 
 
-def measured_intensity(df: DataFrame, rate: float = 100.0, unit: str = "gal", duration_s: float = 0.3, policy: str = "ceil", allow_fewer: bool = False, warn: bool = True) -> DataFrame:
+def measured_intensity(df: DataFrame, rate: float = 100.0, unit: str = "gal", duration_s: float = 0.3, policy: str = "ceil", allow_fewer: bool = False, warn: bool = True, block: int | None = blocks.BLOCK_SAMPLES) -> DataFrame:
     """One row per record: the duration threshold of the filtered resultant, raw and reported intensity, class and peaks.
 
     A record shorter than the duration, or with fewer components where that isn't
-    allowed, stops the query.
+    allowed, stops the query.  Records longer than ``block`` samples are filtered in many
+    tasks, and their threshold is selected without sorting them.
     """
     rate = check_rate(rate, warn)
     count = duration_sample_count(duration_s, rate, policy)
@@ -132,9 +137,33 @@ def measured_intensity(df: DataFrame, rate: float = 100.0, unit: str = "gal", du
         threshold = float(np.partition(size, len(size) - count)[len(size) - count])
         return pd.DataFrame([(record, len(x), len(have), threshold, float(np.sqrt((x**2).sum(axis=1)).max()), float(size.max()), np.abs(x).max(axis=0).tolist(), np.abs(y).max(axis=0).tolist())])
 
+    df = convert_waveform(df, unit)
+    if blocks.choose(df, block):
+        out = _measured_in_blocks(df, names, rate, count, allow_fewer)
+        return _measured_columns(out, count, rate, duration_s, policy)
     kind = dict(df.dtypes)["record_id"]
     schema = f"record_id {kind}, sample_count long, component_count int, threshold_gal double, input_pga_gal double, filtered_pga_gal double, input_component_pga_gal array<double>, filtered_component_pga_gal array<double>"
-    out = convert_waveform(df, unit).select("record_id", F.col("i").cast("long"), *names).groupBy("record_id").applyInPandas(run, schema)
+    out = df.select("record_id", F.col("i").cast("long"), *names).groupBy("record_id").applyInPandas(run, schema)
+    return _measured_columns(out, count, rate, duration_s, policy)
+
+
+def _measured_in_blocks(df: DataFrame, names: list[str], rate: float, count: int, allow_fewer: bool) -> DataFrame:
+    y = written(fourier.filter_whole(df, names, kernels.measured_gain, rate))
+    peaks = lambda: F.array_compact(F.array(*[F.max(F.abs(F.col(c))) for c in names]))
+    given = df.groupBy("record_id").agg(
+        F.count(F.lit(1)).alias("sample_count"), sum((F.when(F.count(c) > 0, 1).otherwise(0) for c in names), F.lit(0)).alias("component_count"),
+        F.max(resultant(names)).alias("input_pga_gal"), peaks().alias("input_component_pga_gal"),
+    )
+    few = F.concat(F.lit("record "), F.col("record_id").cast("string"), F.lit(" has fewer than three components"))
+    if not allow_fewer:
+        given = given.withColumn("component_count", F.when(F.col("component_count") < 3, F.raise_error(few).cast("int")).otherwise(F.col("component_count")))
+    made = y.groupBy("record_id").agg(F.max(resultant(names)).alias("filtered_pga_gal"), peaks().alias("filtered_component_pga_gal"))
+    threshold = duration_threshold(y.select("record_id", resultant(names).alias("amplitude")), count).withColumnRenamed("threshold", "threshold_gal")
+    out = given.join(made, "record_id").join(threshold, "record_id")
+    return out.select("record_id", "sample_count", F.col("component_count").cast("int"), "threshold_gal", "input_pga_gal", "filtered_pga_gal", "input_component_pga_gal", "filtered_component_pga_gal")
+
+
+def _measured_columns(out: DataFrame, count: int, rate: float, duration_s: float, policy: str) -> DataFrame:
     raw = scale.intensity_from_threshold(F.col("threshold_gal"))
     reference = (F.col("component_count") == 3) & F.lit(rate == 100.0 and duration_s == 0.3 and policy == "ceil")
     out = out.withColumn("intensity_raw", raw).withColumn("intensity", scale.report_intensity(F.col("intensity_raw")))

@@ -92,14 +92,17 @@ class BankFilter:
             yield at, y.reshape(2, self.count, *y.shape[1:])
 
 
+def measured_gain(f: np.ndarray) -> np.ndarray:
+    """Gain of the intensity filter at frequencies in Hz, 0 at 0."""
+    shape = np.polyval(HIGH_CUT[::-1], (f / 10) ** 2)
+    with np.errstate(divide="ignore"):
+        return np.where(f > 0, np.sqrt(-np.expm1(-((f / LOW_CUT_HZ) ** 3)) / np.where(f > 0, f, 1) / shape), 0.0)
+
+
 def measured_filter(x: np.ndarray, rate: float) -> np.ndarray:
     """The intensity filter in the frequency domain, over the record as it is (no padding)."""
     n = len(x)
-    f = np.fft.rfftfreq(n, 1 / rate)
-    y = (f / 10) ** 2
-    shape = np.polyval(HIGH_CUT[::-1], y)
-    with np.errstate(divide="ignore"):
-        gain = np.where(f > 0, np.sqrt(-np.expm1(-((f / LOW_CUT_HZ) ** 3)) / np.where(f > 0, f, 1) / shape), 0.0)
+    gain = measured_gain(np.fft.rfftfreq(n, 1 / rate))
     return np.fft.irfft(np.fft.rfft(x, axis=0) * gain[:, None], n=n, axis=0)
 
 

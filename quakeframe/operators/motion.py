@@ -199,14 +199,54 @@ def cosine_taper(df: DataFrame, fraction: float = 0.05) -> DataFrame:
 # -- durations -------------------------------------------------------------------------
 
 
+#: Ranks that a window keeps before rows are shuffled, and values that one task may sort in a selection.
+WINDOW_RANKS, SORTED = 1000, 1 << 16
+
+
 def duration_threshold(amplitudes: DataFrame, count: int, value: str = "amplitude") -> DataFrame:
-    """(record_id, threshold): the exact count-th largest; a record with fewer samples stops the query."""
+    """(record_id, threshold): the exact count-th largest; a record with fewer samples stops the query.
+
+    Of small counts each task sends its largest values on.  For others the range of values
+    that holds the threshold is narrowed by counting, and only the last range is sorted.
+    """
+    if count > WINDOW_RANKS:
+        return select_rank(amplitudes.select("record_id", F.col(value).cast("double").alias("v")), count)
+    short = F.concat(F.lit("record "), F.col("record_id").cast("string"), F.lit(f" has fewer than {count} samples"))
     rank = amplitudes.select("record_id", value, F.row_number().over(record_window().orderBy(F.desc(value))).alias("rank")).where(F.col("rank") <= count)
     found = rank.groupBy("record_id").agg(F.max("rank").alias("n"), F.min(value).alias("threshold"))
-    short = F.concat(F.lit("record "), F.col("record_id").cast("string"), F.lit(f" has fewer than {count} samples"))
     return found.select("record_id", F.when(F.col("n") < count, F.raise_error(short)).otherwise(F.col("threshold")).alias("threshold"))
 
 
+def select_rank(rows: DataFrame, count: int, parts: int = 1024, most: int = SORTED) -> DataFrame:
+    """(record_id, threshold), the exact count-th largest v: counts in equal parts of each record's range, again and again in the part that holds the rank.
+
+    A part's own least and greatest value bound the next range, so ties end the search and
+    every pass narrows it; counts are partial aggregates of ``parts`` rows a record.  Passes
+    grow with the digits that a record's values span, one for three digits.
+    """
+    from ..plans.storage import written
+
+    short = F.concat(F.lit("record "), F.col("record_id").cast("string"), F.lit(f" has fewer than {count} samples"))
+    begin = rows.groupBy("record_id").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"))
+    at = begin.select("record_id", "low", "high", "n", F.when(F.col("n") < count, F.raise_error(short).cast("long")).otherwise(F.lit(count)).alias("want"))
+    at = written(at)
+    while True:
+        inside = rows.join(at, "record_id").where("v between low and high")
+        if at.where(f"n > {most} and low < high").isEmpty():
+            break
+        wide = inside.where(f"n > {most} and low < high")
+        part = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * parts), F.lit(parts - 1))
+        counts = wide.groupBy("record_id", part.alias("part")).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n"), F.first("want").alias("want"))
+        above = F.coalesce(F.sum("n").over(record_window().orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = counts.withColumn("above", above).where("above < want and above + n >= want")
+        narrowed = held.select("record_id", "low", "high", "n", (F.col("want") - F.col("above")).alias("want"))
+        at = written(narrowed.union(at.where(f"n <= {most} or low = high")))
+    done = inside.where("low = high").groupBy("record_id").agg(F.first("low").alias("threshold"))
+    rank = F.row_number().over(record_window().orderBy(F.desc("v")))
+    rest = inside.where("low < high").withColumn("rank", rank).where("rank = want").select("record_id", F.col("v").alias("threshold"))
+    return done.union(rest)
+
+
 def duration_threshold_at(amplitudes: DataFrame, rate: float, duration_s: float = 0.3, policy: str = "ceil", value: str = "amplitude") -> DataFrame:
     return duration_threshold(amplitudes, duration_sample_count(duration_s, rate, policy), value)
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import design, intensity, motion, spectra
-from .queries import ALL, DESIGN_2012, PERIODS, TWO, WAVE, bank_sql, cascade_sql, flat_sql, integral_sql, oscillator_sql, query, r6, raw_sql, reported_sql, rounded, sos, table
+from .queries import ALL, DESIGN_2012, MEASURED, PERIODS, TWO, WAVE, bank_sql, cascade_sql, class_sql, flat_sql, integral_sql, oscillator_sql, query, r6, raw_sql, reported_sql, rounded, sos, table
 
 BLOCK = 64
 LONG_WAVE = WAVE.replace("SELECT user_id AS record_id", "SELECT event_type AS record_id").replace("PARTITION BY user_id", "PARTITION BY event_type")
@@ -78,3 +78,17 @@ def realtime_intensity_long_record(spark: SparkSession, sf_dir: str) -> DataFram
 def rolling_kth_largest_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = intensity.rolling_kth_largest(long_wave(spark, sf_dir, ("c0",)), 137, 11, "c0", block=BLOCK)
     return rounded(out.select("record_id", "i", "kth"))
+
+
+@query(f"WITH {MEASURED.replace(WAVE, LONG_WAVE)} SELECT record_id, {r6('threshold_gal', 'intensity_raw', 'intensity')}, {class_sql('intensity')} AS intensity_class FROM measured")
+def measured_intensity_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of records whose lengths are no powers of two, over many tasks."""
+    out = intensity.measured_intensity(long_wave(spark, sf_dir), block=BLOCK)
+    return rounded(out.select("record_id", "threshold_gal", "intensity_raw", "intensity", "intensity_class"))
+
+
+@query(f"WITH {LONG_WAVE}, r AS (SELECT record_id, c0, row_number() OVER (PARTITION BY record_id ORDER BY c0 DESC) AS k, count(*) OVER (PARTITION BY record_id) AS n FROM wave) SELECT record_id, round(c0, 6) + 0.0 AS threshold FROM r WHERE k = 150")
+def duration_threshold_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 150th largest sample, selected by counting: no record is sorted."""
+    rows = long_wave(spark, sf_dir, ("c0",)).select("record_id", F.col("c0").alias("v"))
+    return rounded(motion.select_rank(rows, 150, parts=64, most=20))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quakeframe.errors import InvalidAccelerationError
-from quakeframe.operators import blocks, design, intensity, kernels, motion, spectra
+from quakeframe.operators import blocks, design, fourier, intensity, kernels, motion, spectra
 from quakeframe.plans import long_records  # noqa: F401  (its queries)
 from quakeframe.plans.queries import ORACLES, QUERIES
 from tests.oracle import duck_rows, spark_rows
@@ -96,6 +96,42 @@ def test_rolling_rank_is_the_sorted_list(window, k):
         assert np.array_equal(kernels.rolling_rank(values, window, k), want, equal_nan=True)
 
 
+@pytest.mark.parametrize("tile", [4, 64])
+def test_transform_of_any_length(spark, tile):
+    rng = np.random.default_rng(6)
+    data = {n: rng.normal(0, 30, (n, 3)) for n in (1, 2, 3, 7, 16, 101, 997, 2048)}
+    rows = [(n, i, *map(float, x)) for n, d in data.items() for i, x in enumerate(d)]
+    df = spark.createDataFrame(rows, "record_id int, i long, c0 double, c1 double, c2 double")
+    got = fourier.filter_whole(df, ["c0", "c1", "c2"], kernels.measured_gain, 100.0, tile).toPandas()
+    for n, x in data.items():
+        y = got[got["record_id"] == n].sort_values("i")
+        assert y["i"].tolist() == list(range(n))
+        assert np.abs(y[["c0", "c1", "c2"]].to_numpy() - kernels.measured_filter(x, 100.0)).max() < 1e-11
+
+
+def test_measured_intensity(waveform):
+    long = waveform.where("record_id in ('long', 'edge')")
+    columns = ["record_id", "sample_count", "component_count", "threshold_gal", "input_pga_gal", "filtered_pga_gal", "intensity_raw", "intensity"]
+    same(intensity.measured_intensity(long, block=BLOCK).select(columns), intensity.measured_intensity(long, block=None).select(columns), ["record_id"])
+    two = long.withColumn("c1", F.lit(None).cast("double"))
+    same(intensity.measured_intensity(two, allow_fewer=True, block=BLOCK).select(columns), intensity.measured_intensity(two, allow_fewer=True, block=None).select(columns), ["record_id"])
+    with pytest.raises(Exception, match="three components"):
+        intensity.measured_intensity(two, block=BLOCK).collect()
+    with pytest.raises(Exception, match="without gaps"):
+        intensity.measured_filter(long.where("i <> 5"), block=BLOCK).collect()
+
+
+@pytest.mark.parametrize("parts,most,count", [(1024, 1 << 16, 30), (64, 8, 600)])
+def test_selection_without_sorting(spark, parts, most, count):
+    rng = np.random.default_rng(3)
+    data = {"normal": rng.normal(size=900), "ties": rng.integers(0, 3, 700).astype(float), "one": np.full(650, -2.5), "wide": 10.0 ** rng.uniform(-4, 4, 600)}
+    rows = spark.createDataFrame([(k, float(v)) for k, d in data.items() for v in d], "record_id string, v double")
+    got = {r.record_id: r.threshold for r in motion.select_rank(rows, count, parts, most).collect()}
+    assert got == {k: float(np.sort(d)[-count]) for k, d in data.items()}
+    with pytest.raises(Exception, match="fewer than"):
+        motion.select_rank(rows, 901, parts, most).collect()
+
+
 def test_composed_filter_is_the_cascade():
     filters = kernels.cascade(design.design_realtime_filter(100.0).sos)
     x = np.random.default_rng(1).normal(size=(5000, 2))
