@@ -31,9 +31,9 @@ def long_wave(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ALL) ->
     return rows
 
 
-@query(f"WITH RECURSIVE {LONG_WAVE}, {cascade_sql([design.design_high_pass()[:2]], gain=design.HIGH_PASS_GAIN)} SELECT record_id, i, {r6(*ALL)} FROM flt")
+@query(f"WITH RECURSIVE {LONG_WAVE}, {cascade_sql([design.design_high_pass()[:2]], gain=design.HIGH_PASS_GAIN)} SELECT record_id, i, {r6(*ALL, digits=4)} FROM flt")
 def high_pass_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(intensity.high_pass(long_wave(spark, sf_dir), block=BLOCK))
+    return rounded(intensity.high_pass(long_wave(spark, sf_dir), block=BLOCK), 4)
 
 
 @query(f"WITH {LONG_WAVE}, {integral_sql('wave', 'v')}, {integral_sql('v', 'd')} SELECT record_id, i, {r6(*ALL, digits=9)} FROM d")
