@@ -3,7 +3,7 @@
 Each pattern rule names literal tokens that any URL it fits must hold.  Tokens are
 counted over all distinct URLs; a rule is indexed by its rarest one.  A URL's tokens
 fetch the rules indexed by them and only those rules' expressions run; of the rules that
-fit, the longest wins.  Where none fits, the pattern rules of the method (DEFAULT_RULES)
+fit, the longest wins.  A rule without such a token runs on every URL.  Where none fits, the pattern rules of the method (DEFAULT_RULES)
 decide in the same way, and at last the default verdict.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and fits no
@@ -60,8 +60,9 @@ PREFIX_RULES = (
 
 
 def word_rule(word: str) -> Rule:
-    """A pattern rule of the method: the word as a whole token of host or path."""
-    return Rule(None, 1, len(word), "block", rf"(^|[./:_-]){re.escape(word)}([./:_-]|$)", (word,))
+    """A pattern rule of the method: the word as a whole token of host or path; a word with breaks is several tokens."""
+    tokens = tuple(dict.fromkeys(x for x in re.split(TOKEN_BREAK, word) if x))
+    return Rule(None, 1, len(word), "block", rf"(^|[./:_-]){re.escape(word)}([./:_-]|$)", tokens)
 
 
 #: The method's own rules, for URLs that no listed rule fits.
@@ -77,7 +78,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
-    rows = [(i, r.name, r.tier, r.size, r.verdict, r.pattern, t) for i, r in enumerate(rules) for t in r.tokens]
+    """A row for each token; a rule that names none stands under the empty token, which every URL then has."""
+    rows = [(i, r.name, r.tier, r.size, r.verdict, r.pattern, t) for i, r in enumerate(rules) for t in r.tokens or ("",)]
     return spark.createDataFrame(rows, "rule_id int, name string, tier int, size int, verdict string, pattern string, token string")
 
 
@@ -96,15 +98,17 @@ def judge_urls(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + DEFAUL
     seen = pages.select("page_id", F.col("url").cast("string").alias("url"))
     host, path = host_and_path(F.col("url"))
     urls = seen.where("url is not null").select("url").distinct().select("url", host.alias("host"), path.alias("path"))
-    urls = urls.select(
-        "url", F.concat("host", "path").alias("place"), F.array_distinct(F.split(F.concat("host", "path"), TOKEN_BREAK)).alias("tokens")
-    )
+    tokens = F.array_distinct(F.split(F.concat("host", "path"), TOKEN_BREAK))
+    if any(not r.tokens for r in rules):
+        tokens = F.array_union(tokens, F.array(F.lit("")))
+    urls = urls.select("url", F.concat("host", "path").alias("place"), tokens.alias("tokens"))
     urls = durable(urls)
     index = durable(indexed_rules(urls, rule_table(spark, rules)))
     fetched = urls.select("url", "place", F.explode("tokens").alias("token")).join(index, "token").where("place rlike pattern")
     rank = F.struct(-F.col("tier"), F.col("size"), -F.col("rule_id"))
     verdicts = fetched.groupBy("url").agg(F.max_by(F.struct("name", "verdict"), rank).alias("won"))
-    judged = seen.join(verdicts, "url", "left")
+    # Null URLs have no verdict of their own and stay out of the join, where they would meet in one task.
+    judged = seen.where("url is not null").join(verdicts, "url", "left").unionByName(seen.where("url is null"), allowMissingColumns=True)
     return judged.select(
         "page_id", host.alias("host"), path.alias("path"), F.col("won.name").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict")
     )

@@ -16,12 +16,39 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from quakeframe.llm import conversation_trie as trie
-from quakeframe.llm import lexical, token_store
+from quakeframe.llm import lexical, token_store, url_filter
 from tests.llm.test_llm import DOCS, ODD, odd
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
+# -- 3 URL filters ---------------------------------------------------------------------
+
+
+def test_thousands_of_rules_that_share_tokens(spark):
+    """Every rule's expression on every URL, in plain Python."""
+    rng = random.Random(9)
+    words = ["com", "net", "en", "de", "shop", "news", "x", "rated", "a1", "b2", "c3"] + [f"w{k}" for k in range(40)]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    rules = [url_filter.prefix_rule(".".join(pick(rng.choice([1, 2]))) + "/" + "/".join(pick(rng.choice([1, 2, 3]))) + rng.choice(["/", ""]), rng.choice(["allow", "block"])) for _ in range(1500)]
+    rules += [url_filter.word_rule(rng.choice("-_.").join(pick(rng.choice([1, 2, 3])))) for _ in range(800)]
+    rules += [url_filter.word_rule("x-rated"), url_filter.Rule("free", 0, 1, "block", r"[0-9]{4}", ()), url_filter.Rule(None, 1, 0, "allow", "", ())]
+    urls = ["http://" + ".".join(pick(rng.choice([1, 2, 3]))) + "/" + rng.choice("/-_.").join(pick(rng.choice([0, 1, 3, 6]))) + rng.choice(["", "?q=casino", "#x", "/2024"]) for _ in range(400)]
+    urls += ["http://q.q/x-rated/", "http://q.q/x_rated", None, "no scheme", "http://", "http://q.q/12345", "http://q.q/", ""]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, tuple(rules)).collect()}
+    compiled = [(re.compile(r.pattern), r) for r in rules]
+    for k, url in enumerate(urls):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        place = host.lower() + re.match(r"[^?#]*", rest[len(host) :])[0]
+        fits = [(-r.tier, r.size, -i, r) for i, (p, r) in enumerate(compiled) if p.search(place)] if url is not None else []
+        won = max(fits, key=lambda x: x[:3])[3] if fits else None
+        assert got[k] == ((won.name, won.verdict) if won else (None, "allow")), url
+    assert len(got) == len(urls)
+    assert got[400] == (None, "block")
+
+
 # -- 11 token store --------------------------------------------------------------------
 
 
