@@ -145,7 +145,7 @@ def _gain_stage(gain: float) -> tuple[str, None, tuple[float, ...]]:
 
 
 def _leading(f0: float, f1: float, dt: float) -> list[tuple[str, float, tuple[float, ...]]]:
-    shapes = (("period effect", 0.0, 1.0, f0), ("7 Hz factor 1", 1.0, 2.0, f1), ("7 Hz factor 2", 4.0, 8.0, f1), ("7 Hz factor 3", 0.25, 0.5, f1))
+    shapes = (("slow tilt", 0.0, 1.0, f0), ("shelf a", 1.0, 2.0, f1), ("shelf b", 4.0, 8.0, f1), ("shelf c", 0.25, 0.5, f1))
     return [(name, hz, _real_pole(a, b, hz, dt)) for name, a, b, hz in shapes]
 
 
