@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import design, intensity, motion, spectra
-from .queries import ALL, DESIGN_2012, MEASURED, PERIODS, TWO, WAVE, bank_sql, cascade_sql, class_sql, flat_sql, integral_sql, oscillator_sql, query, r6, raw_sql, reported_sql, rounded, sos, table
+from ..operators import intensity, motion, spectra
+from .queries import ALL, DESIGN_2012, HIGH_PASS, MEASURED, PERIODS, TWO, WAVE, bank_sql, cascade_sql, class_sql, flat_sql, integral_sql, oscillator_sql, query, r6, raw_sql, reported_sql, rounded, sos, table
 
 BLOCK = 64
 LONG_WAVE = WAVE.replace("SELECT user_id AS record_id", "SELECT event_type AS record_id").replace("PARTITION BY user_id", "PARTITION BY event_type")
@@ -31,7 +31,7 @@ def long_wave(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ALL) ->
     return rows
 
 
-@query(f"WITH RECURSIVE {LONG_WAVE}, {cascade_sql([design.design_high_pass()[:2]], gain=design.HIGH_PASS_GAIN)} SELECT record_id, i, {r6(*ALL, digits=4)} FROM flt")
+@query(f"WITH RECURSIVE {LONG_WAVE}, {cascade_sql([HIGH_PASS], gain=0.997721867867)} SELECT record_id, i, {r6(*ALL, digits=4)} FROM flt")
 def high_pass_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(intensity.high_pass(long_wave(spark, sf_dir), block=BLOCK), 4)
 
@@ -42,7 +42,7 @@ def integrate_long_record(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH RECURSIVE {LONG_WAVE}, {flat_sql('wave', ALL)}, {bank_sql(design.oscillator_bank(PERIODS, 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')}, "
+    f"WITH RECURSIVE {LONG_WAVE}, {flat_sql('wave', ALL)}, {bank_sql(PERIODS, 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')}, "
     f"p AS (SELECT record_id, period_s, component, max(abs(d)) AS sd_cm, max(abs(v)) AS sv_cm_s FROM osc GROUP BY ALL) SELECT record_id, period_s, component, "
     f"{r6('sd_cm', 'sv_cm_s', '2 * pi() / period_s * sd_cm AS psv_cm_s', 'pow(2 * pi() / period_s, 2) * sd_cm AS psa_gal')} FROM p"
 )
@@ -51,7 +51,7 @@ def response_spectrum_long_record(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @query(
-    f"WITH RECURSIVE {LONG_WAVE}, {flat_sql('wave', TWO)}, {bank_sql(design.oscillator_bank(PERIODS, 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')}, "
+    f"WITH RECURSIVE {LONG_WAVE}, {flat_sql('wave', TWO)}, {bank_sql(PERIODS, 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')}, "
     "v AS (SELECT record_id, i, component, sum(s) OVER (PARTITION BY record_id, component ORDER BY i) AS g FROM (SELECT record_id, i, component, coalesce((x + lag(x) OVER k) / 200, 0) AS s FROM flat WINDOW k AS (PARTITION BY record_id, component ORDER BY i))), "
     "s AS (SELECT o.record_id, o.period_s, o.i, sqrt(sum(pow(o.v + v.g, 2))) AS size FROM osc o JOIN v ON v.record_id = o.record_id AND v.i = o.i AND v.component = o.component GROUP BY ALL) "
     "SELECT record_id, period_s, round(max(size), 6) + 0.0 AS sva_cm_s, count(*) AS sample_count FROM s GROUP BY ALL"

@@ -97,9 +97,25 @@ def sos(made: design.Design) -> list[tuple[tuple[float, ...], tuple[float, ...]]
     return [(s[:3], s[3:]) for s in made.sections]
 
 
-def bank_sql(bank: design.Bank) -> str:
-    rows = ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" for v in (t, *a.ravel(), *b0, *b1)) + ")" for t, a, b0, b1 in zip(bank.periods, bank.a, bank.b0, bank.b1, strict=True))
-    return f"bank(period_s, a11, a12, a21, a22, b11, b21, b12, b22) AS (VALUES {rows})"
+#: The published filters as the twins take them (fixed values, numerator and denominator), apart from the library's own.
+HIGH_PASS = ((1.0, -2.0, 1.0), (1.0, -1.995438545842, 0.995448925627))
+VELOCITY = ((0.004937561699, -0.004937561699, -0.004937561699, 0.004937561699), (1.0, -2.974867761716, 2.950050339269, -0.975180618018))
+DISPLACEMENT = ((0.00002485615736514583, 0.00004971231473029166, 0.00002485615736514583), (1.0, -1.988438073558305, 0.9885471048650272))
+
+
+def bank_sql(periods: tuple[float, ...], h: float, rate: float) -> str:
+    """The step of every oscillator for piecewise linear input, by the formulas of Nigam and Jennings (1969), reckoned in SQL."""
+    values = ", ".join(f"({float(t)!r}::DOUBLE)" for t in periods)
+    return f"""bank AS (
+  SELECT period_s, e * (q * s + c) AS a11, e * s / wd AS a12, -w / r * e * s AS a21, e * (c - q * s) AS a22,
+    e * ((k + {h!r} / w) * s / wd + (g + 1 / (w * w)) * c) - g AS b11,
+    e * ((k + {h!r} / w) * (c - q * s) - (g + 1 / (w * w)) * (wd * s + {h!r} * w * c)) + {rate!r} / (w * w) AS b21,
+    -e * (k * s / wd + g * c) - 1 / (w * w) + g AS b12,
+    -e * (k * (c - q * s) - g * (wd * s + {h!r} * w * c)) - {rate!r} / (w * w) AS b22
+  FROM (SELECT *, exp(-{h!r} * w / {rate!r}) AS e, sin(wd / {rate!r}) AS s, cos(wd / {rate!r}) AS c, {h!r} / r AS q,
+               (2 * {h!r} * {h!r} - 1) * {rate!r} / (w * w) AS k, 2 * {h!r} * {rate!r} / (w * w * w) AS g
+        FROM (SELECT *, w * r AS wd FROM (SELECT period_s, 2 * pi() / period_s AS w, sqrt(1 - {h!r} * {h!r}) AS r FROM (VALUES {values}) p(period_s))))
+)"""
 
 
 def oscillator_sql(rate: float, source: str, name: str = "osc") -> str:
@@ -399,9 +415,9 @@ DESIGN_2012, DESIGN_2008, DESIGN_LOW = design.design_realtime_filter(100.0, "201
 _filtered("realtime_filter_2012", sos(DESIGN_2012), lambda w: intensity.realtime_filter(w, DESIGN_2012))
 _filtered("realtime_filter_2008", sos(DESIGN_2008), lambda w: intensity.realtime_filter(w, DESIGN_2008))
 _filtered("realtime_filter_lowrate", sos(DESIGN_LOW), lambda w: intensity.realtime_filter(w, DESIGN_LOW))
-_filtered("high_pass_20s", [design.design_high_pass()[:2]], lambda w: intensity.high_pass(w), design.HIGH_PASS_GAIN)
-_filtered("strong_motion_velocity", [design.VELOCITY_FILTER], lambda w: intensity.strong_motion_velocity(w))
-_filtered("strong_motion_displacement", [design.DISPLACEMENT_FILTER], lambda w: intensity.strong_motion_displacement(w))
+_filtered("high_pass_20s", [HIGH_PASS], lambda w: intensity.high_pass(w), 0.997721867867)
+_filtered("strong_motion_velocity", [VELOCITY], lambda w: intensity.strong_motion_velocity(w))
+_filtered("strong_motion_displacement", [DISPLACEMENT], lambda w: intensity.strong_motion_displacement(w))
 
 REALTIME = f"""{WAVE}, {cascade_sql(sos(DESIGN_2012))},
 amp AS (SELECT record_id, i, sqrt(c0 * c0 + c1 * c1 + c2 * c2) AS resultant_gal FROM flt),
@@ -440,7 +456,7 @@ def compare_intensity_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- oscillators -----------------------------------------------------------------------
 
-SPECTRUM = f"{WAVE}, {flat_sql('wave', ALL)}, {bank_sql(design.oscillator_bank(PERIODS, 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')}"
+SPECTRUM = f"{WAVE}, {flat_sql('wave', ALL)}, {bank_sql(PERIODS, 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')}"
 
 
 @query(
@@ -451,7 +467,7 @@ def response_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectra.response_spectrum(wave(spark, sf_dir), PERIODS, 0.05))
 
 
-@query(f"WITH RECURSIVE {WAVE}, {flat_sql('wave', ('c0',))}, {bank_sql(design.oscillator_bank((0.5, 1.0), 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')} SELECT record_id, i, period_s, component, {r6('d AS d_cm', 'v AS v_cm_s')} FROM osc")
+@query(f"WITH RECURSIVE {WAVE}, {flat_sql('wave', ('c0',))}, {bank_sql((0.5, 1.0), 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')} SELECT record_id, i, period_s, component, {r6('d AS d_cm', 'v AS v_cm_s')} FROM osc")
 def oscillator_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectra.oscillator_responses(wave(spark, sf_dir, ("c0",)), (0.5, 1.0), 0.05, series=True))
 
@@ -460,15 +476,15 @@ SI_PERIODS = design.spectrum_periods()
 
 
 @query(
-    f"WITH RECURSIVE {WAVE}, {flat_sql('wave', TWO)}, {bank_sql(design.oscillator_bank(SI_PERIODS, 0.2, 100.0))}, {oscillator_sql(100.0, 'flat')}, p AS (SELECT record_id, period_s, component, max(abs(v)) AS sv FROM osc GROUP BY ALL), "
+    f"WITH RECURSIVE {WAVE}, {flat_sql('wave', TWO)}, {bank_sql(SI_PERIODS, 0.2, 100.0)}, {oscillator_sql(100.0, 'flat')}, p AS (SELECT record_id, period_s, component, max(abs(v)) AS sv FROM osc GROUP BY ALL), "
     f"a AS (SELECT record_id, component, (sv + lag(sv) OVER k) * (period_s - lag(period_s) OVER k) / 2 AS area FROM p WINDOW k AS (PARTITION BY record_id, component ORDER BY period_s)) SELECT record_id, component, {r6('sum(area) / 2.4 AS si_cm_s')} FROM a GROUP BY ALL"
 )
 def spectrum_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spectra.spectrum_intensity(wave(spark, sf_dir, TWO)))
 
 
-LONG = f"""{WAVE}, {cascade_sql([design.design_high_pass()[:2]], names=TWO, gain=design.HIGH_PASS_GAIN)}, {flat_sql('flt', TWO)},
-{bank_sql(design.oscillator_bank(design.LONG_PERIODS_S, 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')},
+LONG = f"""{WAVE}, {cascade_sql([HIGH_PASS], names=TWO, gain=0.997721867867)}, {flat_sql('flt', TWO)},
+{bank_sql(design.LONG_PERIODS_S, 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')},
 gs AS (SELECT record_id, i, component, coalesce(0.005 * (x + lag(x) OVER (PARTITION BY record_id, component ORDER BY i)), 0) AS s FROM flat),
 gv AS (SELECT record_id, i, component, sum(s) OVER (PARTITION BY record_id, component ORDER BY i) AS g FROM gs),
 ab AS (SELECT o.record_id, o.period_s, o.i, sqrt(sum(pow(o.v + gv.g, 2))) AS a FROM osc o JOIN gv USING (record_id, i, component) GROUP BY ALL),

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sql
-from .queries import AMPLITUDE, PERIODS, WAVE, amplitude, bank_sql, design, flat_sql, oscillator_sql, query, r6, table, wave
+from .queries import AMPLITUDE, PERIODS, WAVE, amplitude, bank_sql, flat_sql, oscillator_sql, query, r6, table, wave
 from .storage import shared_dir
 
-SPECTRUM = f"{WAVE}, {flat_sql('wave', ('c0',))}, {bank_sql(design.oscillator_bank(PERIODS, 0.05, 100.0))}, {oscillator_sql(100.0, 'flat')}"
+SPECTRUM = f"{WAVE}, {flat_sql('wave', ('c0',))}, {bank_sql(PERIODS, 0.05, 100.0)}, {oscillator_sql(100.0, 'flat')}"
 
 
 @query(f"WITH RECURSIVE {SPECTRUM} SELECT record_id, period_s, {r6('max(abs(d)) AS sd_cm', 'max(abs(v)) AS sv_cm_s')} FROM osc GROUP BY record_id, period_s")
