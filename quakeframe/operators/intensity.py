@@ -2,7 +2,7 @@
 
 Records are grouped by record_id (one shuffle); the numpy kernel turns a record's samples
 into filtered samples or a few numbers, and everything after is Column expressions.
-Records are minutes long, so a group is small whatever the number of records.
+Records that are longer than a block run in blocks (see ``blocks`` and ``fourier``).
 """
 
 from __future__ import annotations

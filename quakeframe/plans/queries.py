@@ -1,8 +1,9 @@
 """One query per operator over the given tables, and its SQL twin.
 
 Events stand in for waveforms: a user is a station, its events in time order are the
-samples.  Filter and oscillator coefficients enter the SQL as constants; the recursions,
-Fourier sums, order statistics and rounding are written anew there.
+samples.  The designed coefficients of the causal intensity filters enter the SQL as
+constants; oscillators' coefficients, recursions, Fourier sums, order statistics and rounding
+are written anew there.
 """
 
 from __future__ import annotations
