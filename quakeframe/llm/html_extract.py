@@ -9,7 +9,8 @@ over one half are the main text.
 
 Defined cases: null, empty and text-free pages give the empty text; broken markup is read
 as far as it goes (unclosed elements end with their parent, unclosed comments and raw text
-run to the end, other skipped elements without an end are skipped by their tag alone); pages with a null id or url are returned; other columns are ignored.
+run to the end, other skipped elements without an end are skipped by their tag alone; any
+depth of open elements takes linear time); pages with a null id or url are returned; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +51,8 @@ NAMED = {
     "share": "share sharing social follow buttons tags tagcloud meta byline rating print",
     "good": "article content main post entry story text body page-content entry-content post-content article-body story-body main-content prose",
 }
-#: Hyphenated words of everyday language that begin with one of them.
-ORDINARY = {"ad-hoc", "side-effect", "side-effects", "foot-note", "form-factor", "more-or-less"}
+#: Words for a part of a layout: with one of them last, a compound's first word says what the part holds.
+FRAME = set("area bar block box bottom cell column container frame grid group holder inner item items left link links list outer panel right row section slot top unit wrap wrapper zone".split())
 _KIND = {word: kind for kind, words in NAMED.items() for word in words.split()}
 ELEMENT = {
     "nav": "menu", "menu": "menu", "header": "head", "footer": "foot", "aside": "side", "form": "form", "fieldset": "form", "button": "form", "label": "form",
@@ -60,7 +62,7 @@ KINDS = tuple(NAMED)
 PLAIN = ("p", "heading", "list", "table", "quote", "other", "run", "root")
 SIZES = ("tiny", "short", "medium", "long")
 FEATURES = (
-    ["bias"] + [f"tag_{k}" for k in KINDS] + [f"name_{k}" for k in KINDS] + [f"is_{k}" for k in PLAIN] + [f"text_{k}" for k in SIZES]
+    ["bias"] + [f"{at}_{k}" for at in ("tag", "name", "lead") for k in KINDS] + [f"is_{k}" for k in PLAIN] + [f"text_{k}" for k in SIZES]
     + ["linked", "half_linked", "sentence", "copyright"]
 )
 _INDEX = {name: i for i, name in enumerate(FEATURES)}
@@ -96,9 +98,18 @@ class Tree:
 
 
 def kind_of(name: str) -> str | None:
-    """The kind of a hyphenated name: its own, else that of its last word (what it is), else of its first (what it is of)."""
-    parts = [] if name in ORDINARY else name.split("-")
-    return next((_KIND[w] for w in (name, *parts[-1:], *parts[:1]) if w in _KIND), None)
+    """The feature of a hyphenated name, if any of its words is of a kind.
+
+    A name says what an element is ("name") if it is such a word, ends in one, or begins with
+    one and ends in a layout's word; one that only begins with such a word is about it ("lead").
+    """
+    parts = name.split("-")
+    told = next((_KIND[w] for w in (name, parts[-1]) if w in _KIND), None)
+    if told:
+        return "name_" + told
+    if parts[0] in _KIND:
+        return ("name_" if parts[-1] in FRAME else "lead_") + _KIND[parts[0]]
+    return None
 
 
 _element_memo: dict[tuple[str, str], list[int]] = {}
@@ -115,8 +126,8 @@ def element_features(tag: str, rest: str) -> list[int]:
         for m in _NAME.finditer(rest):
             value = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", m[2] or m[3] or m[4] or "").lower().replace("_", "-")
             for word in _WORD.findall(value):
-                if kind := kind_of(word):
-                    found.add("name_" + kind)
+                if feature := kind_of(word):
+                    found.add(feature)
         if _HIDDEN.search(rest):
             found.add("name_note")
     out = sorted(_INDEX[x] for x in found)
@@ -147,6 +158,7 @@ def parse(page: str) -> Tree:
     stack: list[tuple[str, int]] = [("html", root)]
     pieces: list[str] = []
     linked, anchors, at = 0, 0, 0
+    held: Counter[str] = Counter()  # open elements of each tag
     open_ended: set[str] = set()  # skipped elements without an end tag in the rest of the page
 
     def say(raw: str) -> None:
@@ -166,6 +178,10 @@ def parse(page: str) -> Tree:
             pieces.clear()
         linked = 0
 
+    def shut(begin: int) -> None:
+        held.subtract(tag for tag, _ in stack[begin:])
+        del stack[begin:]
+
     while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
         at = m.end()
@@ -192,25 +208,26 @@ def parse(page: str) -> Tree:
             continue
         flush()
         anchors = 0
-        names = [s[0] for s in stack]
         if m["end"]:
-            if tag in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if held[tag] > 0:  # else the tag ends nothing, and no search for it is made
+                shut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag))
             continue
         if tag == "html":
             continue
+        top = stack[-1][0]
         if tag == "body":
-            del stack[1:]
-        elif tag not in FALLBACK and (names[-1] == "p" or (names[-1][0] == "h" and names[-1][1:].isdigit() and tag != "p")):
-            stack.pop()  # a block ends an open paragraph, and a block other than a paragraph an open heading
-        if tag in CLOSES:
+            shut(1)
+        elif tag not in FALLBACK and (top == "p" or (top[0] == "h" and top[1:].isdigit() and tag != "p")):
+            shut(len(stack) - 1)  # a block ends an open paragraph, and a block other than a paragraph an open heading
+        if tag in CLOSES and any(held[t] > 0 for t in CLOSES[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in CLOSES[tag]:
-                    del stack[k:]
+                    shut(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
         stack.append((tag, tree.add(stack[-1][1], element_features(tag, m["rest"] or ""), None)))
+        held[tag] += 1
     say(page[at:])
     flush()
     return tree
@@ -280,23 +297,36 @@ def labelled_pages(n: int = 500, seed: int = 5) -> list[tuple[Tree, np.ndarray]]
         made = {"{t}": lambda: mark + words(6, 60) + ".", "{s}": lambda: mark + words(1, 7), "{l}": lambda: f"<a href='/x'>{mark + words(1, 4)}</a>"}
         return re.sub(r"\{[tsl]\}", lambda m: made[m[0]](), pattern)
 
+    kinds = sorted(_KIND)
+
+    def word() -> str:
+        return "".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(3, 10))))
+
+    def named(part: str) -> str:
+        """Content under a name of its own: a compound that begins with any kind's word tells nothing here."""
+        name = pick((word(), f"{word()}-{word()}", *[f"{pick(kinds)}-{word()}"] * 3, f"{pick(kinds)}-{word()}-{word()}"))
+        tag = pick(("div", "div", "section", "p")) if part.startswith("{t}") else pick(("div", "div", "section"))
+        return f"<{tag} {pick(('class', 'id'))}='{name}'>{part}</{tag}>"
+
     def junk() -> str:
         kind = pick([k for k in KINDS if k != "good"])
         inner = fill(pick(INSIDE), "~") if rng.random() < 0.7 else fill(pick(INSIDE) + pick(INSIDE), "~")
         name = pick([w for w in NAMED[kind].split()])
+        chance = rng.random()
+        name = f"{name}-{pick(sorted(FRAME))}" if chance < 0.25 else f"{word()}-{name}" if chance < 0.35 else f"{name}-{word()}" if chance < 0.4 else name
         if rng.random() < 0.45:
             tag = pick(JUNK_TAGS)
-            named = f" class='{name}'" if rng.random() < 0.3 else ""
+            title = f" class='{name}'" if rng.random() < 0.3 else ""
             if tag == "footer" and rng.random() < 0.5:
                 inner = "&copy; ~" + inner
-            return f"<{tag}{named}>{inner}</{tag}>"
+            return f"<{tag}{title}>{inner}</{tag}>"
         tag = pick(("div", "div", "section", "ul", "p"))
         inner = f"<li>{inner}</li>" if tag == "ul" else fill("{t}", "~") if tag == "p" else inner
         return f"<{tag} {pick(('class', 'id'))}='{name}'>{inner}</{tag}>"
 
     out = []
     for _ in range(n):
-        parts = [fill(pick(CONTENT), "") for _ in range(int(rng.integers(1, 9)))]
+        parts = [fill(named(pick(CONTENT)) if rng.random() < 0.35 else pick(CONTENT), "") for _ in range(int(rng.integers(1, 9)))]
         for _ in range(int(rng.integers(0, 3))):
             parts.insert(int(rng.integers(0, len(parts) + 1)), junk())
         body = pick(WRAPS).replace("{}", "".join(parts))

@@ -148,6 +148,35 @@ def test_hyphenated_names_of_the_article(spark):
     assert html_extract.main_text(model, page) == "\n\n".join([words.strip()] * 2)
 
 
+@pytest.mark.parametrize(
+    "name",
+    "menu-item-description meta-analysis ad-free more-info comment-on-policy search-results-summary share-price-table form-factor-x ad-hoc related-work legal-history tag-cloud-study".split(),
+)
+def test_names_that_begin_like_a_layout(name):
+    """A part of the article stays, whatever its compound name begins with; a part of the layout goes."""
+    model = html_extract.default_model()
+    words = "A plain sentence of the article that goes on for a while. " * 3
+    for tag, inner in (("div", words), ("div", f"<p>{words}</p>"), ("p", words), ("section", f"<p>{words}</p>")):
+        page = f"<html><body><nav><a href='/'>Home</a></nav><article><p>{words}</p><{tag} class='{name}'>{inner}</{tag}><p>{words}</p></article></body></html>"
+        assert html_extract.main_text(model, page) == "\n\n".join([words.strip()] * 3)
+    for junk in ("ad", "ad-box", "sidebar-left", "cookie-notice", "comment-list", "site-footer", "newsletter-signup", "nav-links"):
+        page = f"<html><body><article><p>{words}</p><div class='{junk}'>{words}</div><p>{words}</p></article><div id='{junk}'><p>{words}</p></div></body></html>"
+        assert html_extract.main_text(model, page) == "\n\n".join([words.strip()] * 2), junk
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "li", "td", "blockquote", "dd"])
+def test_pages_of_open_tags_take_linear_time(tag):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        for page in (f"<{tag}>" * n + "last words", f"<div><{tag}>" * (n // 2) + "</section></i></li>" * n + "last words"):
+            begin = time.perf_counter()
+            assert html_extract.parse(page).text[-1] == "last words"
+            took.append(time.perf_counter() - begin)
+    assert max(took[2:]) < 10 and max(took[2:]) < 40 * max(took[:2])
+
+
 def test_html_generated_pages(spark, sf_dir):
     """The generated pages' articles, cut out by their own markup."""
     got = {r.page_id: r.text for r in queries.op1_html_extraction(spark, sf_dir).collect()}
@@ -155,8 +184,8 @@ def test_html_generated_pages(spark, sf_dir):
         article = re.search(r"<article>(.*?)(</article>|$)", p["html"], re.S)[1]
         import html
 
-        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " " if "br" in b else "", b)).split()) for b in re.split(r"</?(?:p|h1)>", article)]
-        assert got[p["page_id"]].replace(" ", "") == "\n\n".join(b for b in blocks if b).replace(" ", ""), p["page_id"]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert got[p["page_id"]] == "\n\n".join(b for b in blocks if b), p["page_id"]
 
 
 @pytest.mark.parametrize(
