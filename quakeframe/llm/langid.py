@@ -27,6 +27,7 @@ from .common import crc32_mod, first_by_hash
 
 PER_LANGUAGE, MOST_ROWS = 400, 6400
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
+EPOCHS, BATCH, RATE, MOMENTUM, PENALTY = 10, 64, 0.25, np.float32(0.9), np.float32(1e-4)
 AMBIGUOUS = 0.7  # a score below it
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII letters in lower case; other ASCII becomes a word break.
@@ -77,37 +78,65 @@ def codewords(n: int, seed: int = 11) -> np.ndarray:
     return best
 
 
-def train(texts: list, langs: list, steps: int = 150) -> Model:
-    return train_profiles([profile(t or "") for t in texts], langs, steps)
+def sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that the text's profile fills, and their shares."""
+    shares = profile(text)
+    filled = np.flatnonzero(shares).astype(np.uint16)
+    return filled, shares[filled]
 
 
-def train_profiles(profiles: list[np.ndarray], langs: list, steps: int = 150) -> Model:
-    """Logistic regression per bit on profiles scaled by the root of their mean, by accelerated gradients."""
+def train(texts: list, langs: list, epochs: int = EPOCHS) -> Model:
+    return train_profiles([sparse(t or "") for t in texts], langs, epochs)
+
+
+def train_profiles(profiles: list[tuple[np.ndarray, np.ndarray]], langs: list, epochs: int = EPOCHS) -> Model:
+    """Logistic regression per bit on profiles scaled by the root of their mean.
+
+    Mini-batches in a seeded order, with momentum and a step that falls to zero; only a
+    batch at a time is dense, and each language weighs the same.
+    """
     names = sorted(set(langs))
     codes = codewords(len(names))
     if len(names) < 2:
         return Model(names, codes, np.zeros((BUCKETS, codes.shape[1]), np.float32), np.ones(codes.shape[1]) * 5, np.ones(codes.shape[1]))
-    x = np.stack(profiles)
-    root = np.sqrt(x.mean(axis=0) + 1e-7).astype(np.float32)
-    x /= root
+    mean = np.zeros(BUCKETS)
+    for filled, shares in profiles:
+        mean[filled] += shares
+    root = np.sqrt(mean / len(profiles) + 1e-7).astype(np.float32)
     own = np.array([names.index(g) for g in langs])
-    y = codes[own]
-    share = np.bincount(own, minlength=len(names))
-    w = (len(own) / (len(names) * share))[own][:, None] / len(own)
-    step = 4.0 / float((w * (x**2).sum(axis=1, keepdims=True)).sum())
-    beta, bias = np.zeros((BUCKETS, y.shape[1]), np.float32), np.zeros(y.shape[1])
-    ahead, back, before = beta.copy(), bias.copy(), (beta, bias)
-    for t in range(steps):
-        margin = x @ ahead + back
-        pull = (-w * y / (1 + np.exp(np.clip(y * margin, -30, 30)))).astype(np.float32)
-        beta = ahead - step * (x.T @ pull + 1e-4 * ahead)
-        bias = back - step * pull.sum(axis=0)
-        ahead = beta + t / (t + 3) * (beta - before[0])
-        back = bias + t / (t + 3) * (bias - before[1])
-        before = (beta, bias)
-    right = ((x @ beta + bias) * y > 0).mean(axis=0)
+    y = codes[own].astype(np.float32)
+    w = (len(own) / (len(names) * np.bincount(own, minlength=len(names))))[own].astype(np.float32)
+    size = np.mean([c * ((shares / root[filled]) ** 2).sum() for c, (filled, shares) in zip(w, profiles, strict=True)])
+    rng = np.random.default_rng(3)
+
+    def dense(rows: np.ndarray) -> np.ndarray:
+        x = np.zeros((len(rows), BUCKETS), np.float32)
+        for k, r in enumerate(rows):
+            filled, shares = profiles[r]
+            x[k, filled] = shares / root[filled]
+        return x
+
+    beta, bias = np.zeros((BUCKETS, y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
+    speed, drift = np.zeros_like(beta), np.zeros_like(bias)
+    steps, t = epochs * -(-len(own) // BATCH), 0
+    for _ in range(epochs):
+        order = rng.permutation(len(own))
+        for at in range(0, len(order), BATCH):
+            rows = order[at : at + BATCH]
+            x = dense(rows)
+            margin = x @ beta + bias
+            pull = -w[rows, None] * y[rows] / (1 + np.exp(np.clip(y[rows] * margin, -30, 30))) / len(rows)
+            rate = np.float32(RATE * 4 / size * (1 - t / steps))
+            speed = MOMENTUM * speed - rate * (x.T @ pull + PENALTY * beta)
+            drift = MOMENTUM * drift - rate * pull.sum(axis=0)
+            beta, bias, t = beta + speed, bias + drift, t + 1
+    right = np.zeros(y.shape[1])
+    for at in range(0, len(own), BATCH):
+        rows = np.arange(at, min(at + BATCH, len(own)))
+        right += ((dense(rows) @ beta + bias) * y[rows] > 0).sum(axis=0)
+    right /= len(own)
     trust = np.log((right + 0.01) / (1.01 - right)).clip(0.1)
-    return Model(names, codes, (beta / root[:, None]).astype(np.float32), bias, trust / trust.mean())
+    return Model(names, codes, (beta / root[:, None]).astype(np.float32), bias.astype(float), trust / trust.mean())
 
 
 def identify(model: Model, text: str | None) -> tuple[str, float, bool]:
@@ -138,7 +167,7 @@ def fit(docs: DataFrame, learnable: Column | None = None, per_language: int = PE
         for batch in batches:
             for text, lang in zip(*batch.columns, strict=True):
                 if (t := text.as_py()) and _LETTER.search(t):
-                    profiles.append(profile(t))
+                    profiles.append(sparse(t))
                     langs.append(lang.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train_profiles(profiles, langs))], pa.binary())], ["model"])
 

@@ -650,6 +650,32 @@ def test_samples_are_the_first_by_hash(spark):
         assert len(got[g]) == 50 and max(hashes[i] for i in got[g]) <= min(rest)
 
 
+def test_language_scores_against_plain_loops(spark, sf_dir):
+    """Every document of a table, counted and decoded letter by letter from the same model."""
+    texts = {r["doc_id"]: r["text"] for r in documents(sf_dir)}
+    some = [r for r in documents(sf_dir) if r["text"] and r["lang"]][:60]
+    model = langid.train([r["text"] for r in some], [r["lang"] for r in some])
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for r in langid.predict(rows, model).collect():
+        text = texts[r.doc_id]
+        if text is None or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        fold = [b if b > 127 else b | 32 if chr(b).isalpha() else 32 for b in f" {text} ".encode()]
+        counts = Counter()
+        for i in range(len(fold)):
+            key = 0
+            for k in range(min(3, len(fold) - i)):
+                key = (key * 2654435761 + fold[i + k] * 40503 + k + 1) % (1 << 32)
+                counts[(key ^ key >> 15) % langid.BUCKETS] += 1
+        total = sum(counts.values())
+        margin = [b + sum(n / total * float(model.weights[k, j]) for k, n in counts.items()) for j, b in enumerate(model.bias)]
+        loss = [sum(t * np.log1p(np.exp(-c * x)) for t, c, x in zip(model.trust, code, margin, strict=True)) for code in model.codes]
+        p = np.exp(min(loss) - np.array(loss))
+        k = int(np.argmin(loss))
+        assert r.lang_pred == model.names[k] and abs(r.score - p[k] / p.sum()) < 1e-3, r.doc_id
+
+
 def test_language_odd_rows(spark):
     got = langid.identify_documents(odd(spark)).collect()
     assert len(got) == len(ODD)
