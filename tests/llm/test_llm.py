@@ -402,6 +402,24 @@ def test_recall_of_similar_lines(spark, size):
     assert not [k for k in range(300) if 2 * k in found and size > 8]  # the bases are unlike each other
 
 
+@pytest.mark.parametrize(("most", "count", "own"), [((9, 13), 400, 30), ((2, 5), 400, 30), ((5, 11), 1500, 10)])
+def test_recall_of_lines_of_one_template(spark, most, count, own):
+    """Pairs that share long words with all other lines, and words of their own of which one was changed."""
+    rng = random.Random(own)
+    word = lambda a, b: "".join(rng.choice("etaoinshrdlucmf") for _ in range(rng.randint(a, b)))
+    shared = [word(*most) for _ in range(18)]
+    lines = []
+    for _ in range(count):
+        words = [word(2, 9) for _ in range(own)]
+        changed = list(words)
+        changed[rng.randrange(own)] = word(2, 9)
+        lines += [" ".join(shared[:6] + w[: own // 2] + shared[6:] + w[own // 2 :]) for w in (words, changed)]
+    found = set(dropped(spark, lines))
+    recall = np.mean([k + 1 in found for k in range(0, len(lines), 2)])
+    print(f"lines: recall in a template of {most} letters, {own} own words {recall:.3f}")
+    assert recall >= 0.95
+
+
 def test_short_lines_by_characters(spark):
     """Under five words all pairs up to MOST_EDITS edits share a segment; a few lose each other to unlike least texts of their segments."""
     rng = random.Random(8)
