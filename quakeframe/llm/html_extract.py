@@ -179,8 +179,8 @@ def parse(page: str) -> Tree:
         linked = 0
 
     def shut(begin: int) -> None:
-        held.subtract(tag for tag, _ in stack[begin:])
-        del stack[begin:]
+        while len(stack) > begin:
+            held[stack.pop()[0]] -= 1
 
     while m := _TOKEN.search(page, at):
         say(page[at : m.start()])
