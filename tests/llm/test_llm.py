@@ -373,6 +373,26 @@ def dropped(spark, lines):
     return line_dedup.dedup_lines(odd(spark, [(1, "\n".join(lines), None, None, None)])).collect()[0].dropped
 
 
+@pytest.mark.parametrize("part", [line_dedup.PART, 7])
+def test_similar_lines_of_one_key_are_linked(spark, part, monkeypatch):
+    """Pairs that share one phrase alone with many unlike lines, and whose every other window is broken by edits."""
+    monkeypatch.setattr(line_dedup.other_pairs, "__defaults__", (part,))
+    lines = []
+    for k in range(60):
+        own = [f"w{k}x{j}" for j in range(11)]
+        lines += [" ".join([*own, *"one phrase that all lines hold".split()]), " ".join([f"z{k}y{j}" if j in (2, 5, 8) else w for j, w in enumerate(own)] + "one phrase that all lines hold".split())]
+    texts = line_dedup.durable(line_dedup.distinct_texts(line_dedup.raw_lines(odd(spark, [(1, "\n".join(lines), None, None, None)]))))
+    keys = line_dedup.window_keys(texts).collect()
+    number = {r.id: r.line for r in texts.collect()}
+    held = {}
+    for r in keys:
+        held.setdefault(number[r.id], set()).add(r.key)
+    share = {k for k in range(60) if held.get(2 * k, set()) & held.get(2 * k + 1, set())}
+    root = {number[r.node]: r.root for r in line_dedup.text_groups(texts).collect()}
+    linked = {k for k in range(60) if 2 * k in root and root[2 * k] == root.get(2 * k + 1)}
+    assert len(share) > 10 and linked == share
+
+
 def edited(rng, words, n):
     """words with n of them replaced, taken out or put in."""
     out = list(words)
