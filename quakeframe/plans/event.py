@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import intensity, motion, spectra
+from .storage import written
 
 
 def station_quantities(waveform: DataFrame, rate: float = 100.0, unit: str = "gal") -> DataFrame:
@@ -15,6 +16,7 @@ def station_quantities(waveform: DataFrame, rate: float = 100.0, unit: str = "ga
     filter's, as published values are made.
     """
     names = motion.components_of(waveform)
+    waveform = written(waveform)  # four operators read it, and each looks at its lengths first
     measured = intensity.measured_intensity(waveform, rate, unit).select("record_id", "intensity_raw", "intensity", "intensity_class", F.col("input_pga_gal").alias("pga_gal"))
     velocity = motion.peak_ground_velocity(intensity.high_pass(waveform, rate, unit), rate).select("record_id", "pgv_cm_s")
     displacement = intensity.strong_motion_displacement(waveform, rate, unit).groupBy("record_id").agg(F.max(motion.resultant(names)).alias("pgd_cm"))

@@ -15,6 +15,7 @@ from ..operators import design, intensity
 from ..sources import records
 from . import event
 from .queries import ALL, CELLS, KM, MEASURED, ORACLES, QUERIES, RESULTANT, STATION, WAVE, cascade_sql, cells, class_sql, query, r6, reported_sql, rounded, stations, table, wave
+from .storage import written
 
 # -- text records ----------------------------------------------------------------------
 
@@ -137,7 +138,7 @@ joined AS (SELECT m.record_id, m.intensity_raw, m.intensity, peak.pga_gal, far.p
 
 @query(f"{EVENT} {' UNION ALL '.join(map(error_sql, REPORTED))}")
 def event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = event.against_published(event.station_quantities(wave(spark, sf_dir)), published(spark, sf_dir))
+    joined = written(event.against_published(event.station_quantities(wave(spark, sf_dir)), published(spark, sf_dir)))  # three reports read it
     parts = [event.error_report(joined, c, f"published_{c}", tolerance=0.5).select(F.lit(c).alias("quantity"), "*") for c in REPORTED]
     return rounded(parts[0].union(parts[1]).union(parts[2]), 5)
 

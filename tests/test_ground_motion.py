@@ -746,3 +746,44 @@ def test_rolling_paths_agree(spark):
     short = intensity.rolling_kth_largest(df, 64, 7).orderBy("i").toPandas().kth
     rank = kernels.RollingRank(64, 7)
     assert np.allclose(short, np.array([rank.update(v) for v in x.tolist()], float), equal_nan=True)
+
+
+def test_records_are_cut_at_batch_edges(spark):
+    """Records of all lengths, over several batches and with several to a batch, are the same as alone."""
+    from quakeframe.operators import batches
+
+    sizes = [1, 40, 3, 17, 16, 5, 90, 2]
+    rng = np.random.default_rng(3)
+    x = {k: rng.normal(size=(n, 2)) for k, n in enumerate(sizes)}
+    rows = [(f"r{k}", i, float(v[0]), None if k == 3 else float(v[1])) for k, a in x.items() for i, v in enumerate(a)]
+    df = spark.createDataFrame(rows, "record_id string, i long, c0 double, c1 double").repartition(5)
+    calls = []
+
+    def kernel(records):
+        calls.append(1)
+        n = len(records.sizes)
+        return np.arange(n), [records.sizes, np.add.reduceat(records.x[:, 0], records.starts[:-1]), np.full(n, len(calls)), records.have[:, 1]]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = batches.map_whole(df.repartition(1), ["c0", "c1"], "n long, total double, call long, second boolean", kernel).collect()
+        filtered = {(r.record_id, r.i): (r.c0, r.c1) for r in intensity.high_pass(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.record_id, r.n, round(r.total, 9), r.second) for r in got) == [(f"r{k}", n, round(float(x[k][:, 0].sum()), 9), k != 3) for k, n in enumerate(sizes)]
+    assert max(r.call for r in got) > 1 and len(filtered) == sum(sizes)
+    numerator, denominator, gain = design.design_high_pass(100.0)
+    for k, a in x.items():
+        want = kernels.filter_series([kernels.direct_form(numerator, denominator)], a)[0] * gain
+        for i in range(len(a)):
+            c0, c1 = filtered[(f"r{k}", i)]
+            assert abs(c0 - want[i, 0]) < 1e-12 and (c1 is None if k == 3 else abs(c1 - want[i, 1]) < 1e-12)
+
+
+def test_many_records_share_a_kernel_call(spark):
+    """Nothing runs Python once a record any more where records are short."""
+    rows = spark.range(3000).selectExpr("id % 100 as record_id", "id div 100 as i", "sin(id) as c0", "cos(id) as c1", "sin(id * 2) as c2")
+    for out in (intensity.measured_intensity(rows), intensity.high_pass(rows), intensity.realtime_intensity(rows), spectra.spectrum_intensity(rows), spectra.absolute_velocity_spectrum(rows.drop("c2"))):
+        plan = out._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
