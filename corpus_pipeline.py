@@ -5,7 +5,7 @@ like any other, but in the mixing, where such rows of a leaf are placed together
 repeat a doc_id with different texts are told apart by the text until then; null and empty
 texts are clean, equal to each other, and hold no tokens, so one of them stays at most; an
 empty table passes through empty.  All stages but the last return the columns of documents,
-the last one doc_id, n_tokens and ids.
+the last one doc_id, n_tokens, ids and the text that they decode to.
 """
 
 from __future__ import annotations
@@ -50,10 +50,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text."""
+    """Token ids of every whole text, and what they decode to."""
     import public_tokenizers
 
-    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), decode=False)
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -814,6 +814,16 @@ def test_pipeline_against_brute_force(spark, sf_dir, tokenizer):
         assert n == len(ids) and ids == tokenizer.encode(rows[i]["text"], add_special_tokens=False).ids
 
 
+def test_pipeline_decodes(spark, sf_dir, tokenizer):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    got = dict(cp.STAGES)["bpe"](spark, docs, sf_dir).collect()
+    assert len(got) == 40
+    for r in got:
+        assert r.decoded == tokenizer.decode(r.ids, skip_special_tokens=False)
+
+
 def test_pipeline_odd_rows(spark, sf_dir):
     import corpus_pipeline as cp
 
