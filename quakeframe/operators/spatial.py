@@ -25,6 +25,8 @@ from .triangulation import triangulate
 
 #: Stations of a leaf at least, as far as there are so many; children of a node are 2**FAN.
 LEAF, FAN = 16, 4
+#: Cells that a task searches for, however they are stored.
+CELLS = 8192
 
 
 @dataclass(frozen=True)
@@ -171,11 +173,17 @@ def station_tree(stations: DataFrame, leaf: int = LEAF) -> list[DataFrame]:
     return levels
 
 
+def dealt_cells(cells: DataFrame, parts: int) -> DataFrame:
+    return cells.repartition(parts, "row", "col")
+
+
 def nearest_stations(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame:
     """(row, col, station_id, distance_km, rank): the k nearest stations of each cell that has coordinates, all if there are fewer; ties by the smallest id."""
     levels = station_tree(stations, max(LEAF, 4 * k))
     xyz = [x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), ("cx", "cy", "cz"), strict=True)]
-    at = cells.where("lat is not null and lon is not null").select("row", "col", *xyz)
+    # Broadcast joins keep the partitions of their left side, and a small file of cells is one.
+    parts = max(1, math.ceil(cells.count() / CELLS))
+    at = dealt_cells(cells.where("lat is not null and lon is not null").select("row", "col", *xyz), parts)
     keep = ["row", "col", "cx", "cy", "cz"]
     slack = lambda c: c * (1 + 1e-9) + 1e-12
     apart = lambda s: geo.chord((F.col("cx"), F.col("cy"), F.col("cz")), (s["x"], s["y"], s["z"]))
@@ -196,10 +204,10 @@ def nearest_stations(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame
         best = F.array_min(F.transform(full, lambda b: F.struct(_least_chord(b).alias("near"), b["node"].alias("node"), _greatest_chord(b).alias("far"))))
         down = meet(down, level, "left").withColumn("best", best)
         down = down.select(*keep, F.col("best.node").alias("node"), F.least("bound", F.coalesce("best.far", F.lit(2.0))).alias("bound"))
-    kth = F.get(F.array_sort(F.transform("kids", apart)), F.lit(k - 1))
+    kth = F.get(F.sort_array(F.transform("kids", apart)), F.lit(k - 1))
     down = meet(down, levels[0], "left").select(*keep, slack(F.least("bound", F.coalesce(kth, F.lit(2.0)))).alias("bound"))
     # All boxes within the bound, then their stations.
-    found = written(down).withColumn("node", F.lit(0).cast("long"))
+    found = dealt_cells(written(down), parts).withColumn("node", F.lit(0).cast("long"))
     for level in reversed(levels[1:]):
         found = meet(found, level, "inner").select(*keep, "bound", F.explode(F.filter("kids", lambda b: _least_chord(b) <= F.col("bound"))).alias("b")).select(*keep, "bound", "b.node")
     met = F.transform("kids", lambda s: F.struct(s["station_id"].alias("station_id"), apart(s).alias("chord")))

@@ -107,3 +107,15 @@ def test_tiles_give_one_triangulation(spark, kind):
     area = np.abs(triangulation._turn(p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]])).sum() / 2
     _, hull = triangulation.delaunay(p + RNG.uniform(-1e-6, 1e-6, p.shape))
     assert area == pytest.approx(abs((p[hull[:, 0], 0] * p[hull[:, 1], 1] - p[hull[:, 0], 1] * p[hull[:, 1], 0]).sum()) / 2, rel=1e-6)
+
+
+def test_a_task_searches_few_cells(spark, monkeypatch):
+    """Cells of one partition are dealt to many tasks, and each cell's nearest stay the same."""
+    stations = spark.range(300).selectExpr("id as station_id", "30 + (id * 0.618D) % 7 as lat", "130 + (id * 0.414D) % 9 as lon")
+    cells = spark.range(0, 900, 1, 1).selectExpr("cast(id as int) as row", "0 as col", "30 + (id * 0.732D) % 7 as lat", "130 + (id * 0.236D) % 9 as lon")
+    want = sorted(map(tuple, spatial.nearest_stations(cells, stations, 4).collect()))
+    monkeypatch.setattr(spatial, "CELLS", 50)
+    found = spatial.nearest_stations(cells, stations, 4)
+    assert sorted(map(tuple, found.collect())) == want and len(want) == 3600
+    sizes = [r["n"] for r in found.select(F.spark_partition_id().alias("p"), "row").distinct().groupBy("p").agg(F.count("row").alias("n")).collect()]
+    assert len(sizes) > 10 and max(sizes) <= 120
