@@ -546,6 +546,18 @@ def test_toxicity_odd_rows(spark):
     assert {r.predicted for r in one} == {0}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Two clean rows share a word of their own: about 0.64 of such words have both rows among those that are trained on."""
+    rows = [(k, f"plain w{k // 2}q" + (" awful fool" if k % 10 == 0 else " kind"), "en", int(k % 10 == 0)) for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = toxicity.fit(docs.drop("toxic"), docs.selectExpr("doc_id", "1 AS quality", "toxic"), shard=1500)
+    assert len(model.learned) > 0.55 * 4000
+    raw, guess = toxicity.logits(model, [r[1] for r in rows])
+    assert all((raw >= model.thresholds[guess]) == np.array([r[3] for r in rows], bool))
+    again = toxicity.fit(docs.drop("toxic").repartition(7), docs.selectExpr("doc_id", "1 AS quality", "toxic").repartition(3), shard=1500)
+    assert (again.learned == model.learned).all() and np.allclose(again.emb, model.emb, atol=1e-4) and np.allclose(again.thresholds, model.thresholds, atol=0.02)
+
+
 # -- 7 mixing --------------------------------------------------------------------------
 
 
