@@ -160,3 +160,15 @@ def test_block_arguments(waveform):
 def test_long_record_twins(spark, name):
     path = "/root/testdata/sf0.001"
     assert spark_rows(QUERIES[name](spark, path)) == duck_rows(ORACLES[name], path)
+
+
+def test_short_blocks_share_kernel_calls(spark):
+    """1,563 blocks of 64 samples: a call of the filter sees dozens of them side by side."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 20, 100_001)
+    rows = spark.range(0, 100_001, 1, 4).selectExpr("'r' AS record_id", "id AS i", "floor(id / 64) AS block")
+    values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "i long, c0 double")
+    made = blocks.compose([kernels.direct_form(*design.VELOCITY_FILTER)])
+    finish = lambda pack: (np.arange(pack.blocks), [np.full(pack.blocks, pack.blocks), pack.column("block")[0]])
+    seen = blocks.run_packs(rows.join(values, "i").select("record_id", "i", "block", "c0"), ["c0"], made, "shared long, own long", finish).collect()
+    assert sorted(r.own for r in seen) == list(range(1563)) and np.median([r.shared for r in seen]) > 50
