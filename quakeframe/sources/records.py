@@ -56,6 +56,11 @@ def _numbers(line: Column) -> Column:
     return F.transform(F.regexp_extract_all(line, F.lit(f"({NUMBER})"), F.lit(1)), lambda t: t.cast("double"))
 
 
+def _once(df: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once a row: filters and projections above would repeat them for each use, but don't pass a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in made.items()]))).alias(*made))
+
+
 def parse_text_records(texts: DataFrame) -> DataFrame:
     """One row per (source, text): header fields, samples as an array, and ``error`` (null: the record is sound).
 
@@ -64,7 +69,7 @@ def parse_text_records(texts: DataFrame) -> DataFrame:
     followed by rows of one to three values.
     """
     lines = F.split(F.regexp_replace(F.regexp_replace(F.col("text"), "\r\n?", "\n"), r"\s+$", ""), "\n")
-    df = texts.withColumn("lines", F.transform(lines, lambda x: F.trim(x))).withColumn("n_lines", F.size("lines"))
+    df = _once(texts, {"lines": F.transform(lines, lambda x: F.trim(x))}).withColumn("n_lines", F.size("lines"))
     line = lambda k: F.coalesce(F.get("lines", F.lit(k)), F.lit(""))
     last = lambda k: F.get(F.reverse(_tokens(line(k))), F.lit(0))
     first = lambda k: F.get(_numbers(line(k)), F.lit(0))
@@ -76,12 +81,12 @@ def parse_text_records(texts: DataFrame) -> DataFrame:
     )
     micro = F.rint((F.get(t, F.lit(5)) - whole) * 1_000_000).cast("long")
     body = F.filter(F.slice("lines", 8, F.greatest(F.col("n_lines") - 7, F.lit(0))), lambda x: x != "")
-    df = df.withColumns({
+    df = _once(df, {
         "station_code": last(0), "latitude_deg": first(1), "longitude_deg": first(2), "sampling_rate_hz": first(3), "unit": last(4),
         "time_numbers": _numbers(line(5)), "component_names": _tokens(line(6)), "body": F.transform(body, _tokens),
     })
     df = df.withColumn("start_time", F.when(F.size(t) >= 6, F.timestamp_add("MICROSECOND", micro.cast("int"), start)))
-    df = df.withColumn("samples", F.transform("body", lambda row: F.transform(row, lambda x: x.try_cast("double"))))
+    df = _once(df, {"samples": F.transform("body", lambda row: F.transform(row, lambda x: x.try_cast("double")))})
     width = F.size("component_names")
     odd = F.array_position(F.transform("body", lambda r: F.size(r) != width), True)
     bad_number = F.exists("samples", lambda r: F.exists(r, lambda v: v.isNull()))

@@ -787,3 +787,11 @@ def test_many_records_share_a_kernel_call(spark):
     for out in (intensity.measured_intensity(rows), intensity.high_pass(rows), intensity.realtime_intensity(rows), spectra.spectrum_intensity(rows), spectra.absolute_velocity_spectrum(rows.drop("c2"))):
         plan = out._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_texts_are_cut_into_lines_once(spark):
+    """Every check of a record that cut its text anew would show as one more pattern in the plan."""
+    df = spark.createDataFrame([("a", "x")], "source string, text string")
+    parsed = records.waveform_table(records.record_table(records.parse_text_records(df), strict=False))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(text") <= 2, plan.count("regexp_replace(text")
