@@ -173,6 +173,10 @@ def station_tree(stations: DataFrame, leaf: int = LEAF) -> list[DataFrame]:
     return levels
 
 
+def cell_parts(cells: DataFrame) -> int:
+    return max(1, math.ceil(cells.count() / CELLS))
+
+
 def dealt_cells(cells: DataFrame, parts: int) -> DataFrame:
     return cells.repartition(parts, "row", "col")
 
@@ -182,7 +186,7 @@ def nearest_stations(cells: DataFrame, stations: DataFrame, k: int) -> DataFrame
     levels = station_tree(stations, max(LEAF, 4 * k))
     xyz = [x.alias(n) for x, n in zip(geo.unit_xyz(F.col("lon"), F.col("lat")), ("cx", "cy", "cz"), strict=True)]
     # Broadcast joins keep the partitions of their left side, and a small file of cells is one.
-    parts = max(1, math.ceil(cells.count() / CELLS))
+    parts = cell_parts(cells)
     at = dealt_cells(cells.where("lat is not null and lon is not null").select("row", "col", *xyz), parts)
     keep = ["row", "col", "cx", "cy", "cz"]
     slack = lambda c: c * (1 + 1e-9) + 1e-12
@@ -281,7 +285,9 @@ def linear_plan(cells: DataFrame, stations: DataFrame, grid: Grid, config: Linea
     tile = F.pow(F.lit(2.0), F.col("level"))
     span = lambda names: F.sequence(F.floor(F.least(*names) / tile), F.floor(F.greatest(*names) / tile))
     placed = shapes.select("*", F.explode(span(("x0", "x1", "x2"))).alias("tx")).select("*", F.explode(span(("y0", "y1", "y2"))).alias("ty"))
-    at = cells.select("row", "col", x.alias("x"), y.alias("y"), F.explode(F.array(*map(F.lit, sizes))).alias("level"))
+    # Broadcast joins keep the partitions of their left side, and a small file of cells is one.
+    dealt = dealt_cells(cells.select("row", "col", x.alias("x"), y.alias("y")), cell_parts(cells))
+    at = dealt.select("row", "col", "x", "y", F.explode(F.array(*map(F.lit, sizes))).alias("level"))
     at = at.withColumns({"tx": F.floor(F.col("x") / tile), "ty": F.floor(F.col("y") / tile)})
     met = at.join(placed, ["level", "tx", "ty"])
     det = F.expr("(y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)")

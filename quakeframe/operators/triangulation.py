@@ -198,9 +198,10 @@ def triangulate(points: DataFrame, size: int = TILE, margin: float = MARGIN) ->
             return made.reindex(columns=names)
         return (pd.concat([made, more]) if triangles else more).reindex(columns=names)
 
-    found, todo, extra = None, members, None
+    found, todo, extra, parts = None, members, None, len(plain)
     while True:
-        step = written(todo.groupBy("tile").applyInPandas(answer, out_kind))
+        # Tiles are few bytes and much work: a task for about each, which adaptive execution doesn't merge.
+        step = written(todo.repartition(parts, "tile").groupBy("tile").applyInPandas(answer, out_kind))
         conflicts = written(_conflicts(step, dealt, rects, spark, extra))
         again = conflicts.select("tile").distinct()
         stands = step.where("number is null").select(*names[:10])
@@ -210,7 +211,7 @@ def triangulate(points: DataFrame, size: int = TILE, margin: float = MARGIN) ->
         stands = stands.join(again, "tile", "left_anti")
         found = stands if found is None else found.union(stands)
         extra = written(conflicts if extra is None else extra.union(conflicts))
-        todo = members.join(again, "tile", "left_semi").union(extra.join(again, "tile", "left_semi"))
+        todo, parts = members.join(again, "tile", "left_semi").union(extra.join(again, "tile", "left_semi")), again.count()
     area = F.abs(F.expr("(x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)"))
     longest = F.greatest(*[F.expr(f"pow(x{a} - x{b}, 2) + pow(y{a} - y{b}, 2)") for a, b in ((0, 1), (1, 2), (2, 0))])
     out = written(found.where(area > 1e-11 * longest + 10 * MOVE_KM * F.sqrt(longest)).select(*names[1:10]))

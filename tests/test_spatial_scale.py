@@ -119,3 +119,15 @@ def test_a_task_searches_few_cells(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == want and len(want) == 3600
     sizes = [r["n"] for r in found.select(F.spark_partition_id().alias("p"), "row").distinct().groupBy("p").agg(F.count("row").alias("n")).collect()]
     assert len(sizes) > 10 and max(sizes) <= 120
+
+
+def test_cells_of_triangles_are_dealt_to_tasks(spark, monkeypatch):
+    """A small file of cells is one partition, which broadcast joins with triangles would keep."""
+    dealt, real = [], spatial.dealt_cells
+    monkeypatch.setattr(spatial, "CELLS", 16)
+    monkeypatch.setattr(spatial, "dealt_cells", lambda cells, parts: dealt.append((cells.columns, parts)) or real(cells, parts))
+    stations = spark.createDataFrame([(k, 35 + (k * 0.618) % 1, 135 + (k * 0.414) % 1) for k in range(30)], "station_id long, lat double, lon double")
+    cells = spark.range(0, 100, 1, 1).selectExpr("cast(id AS int) AS row", "0 AS col", "35 + (id * 0.732) % 1 AS lat", "135 + (id * 0.236) % 1 AS lon")
+    plan = spatial.linear_plan(cells, stations, spatial.Grid(135.0, 35.0, 136.0, 36.0, (1, 1)))
+    assert (["row", "col", "x", "y"], 7) in dealt
+    assert plan.select("row").distinct().count() == 100
