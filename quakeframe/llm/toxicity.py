@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, discard, durable, slices, word_hashes
+from .common import crc32_mod, discard, durable, slices, small_batches, word_hashes
 
 #: Bits of a word's hash that name its bucket.
 BUCKET_BITS = 24
@@ -93,6 +93,19 @@ def convolve(own: np.ndarray) -> np.ndarray:
     return out
 
 
+def _convolve_rows(taps: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``convolve`` of taps[rows], which isn't made as a whole."""
+    n = len(rows) - PAD
+    out = np.zeros((n, len(WIDTHS) * FILTERS), np.float32)
+    k = 0
+    for w, width in enumerate(WIDTHS):
+        for j in range(width):
+            tap = np.ascontiguousarray(taps[:, k * FILTERS : (k + 1) * FILTERS])
+            out[:, w * FILTERS : (w + 1) * FILTERS] += tap[rows[j : n + j]]
+            k += 1
+    return out
+
+
 def logits(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray]:
     """Logit and guessed language number of each text, whole texts, about 256 KB at a time."""
     raw, lang = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
@@ -155,15 +168,20 @@ def _descend(w: Weights, prepared: list, toxic: np.ndarray, balance: np.ndarray,
     kernel, bias, out, shift = w.parts()
     pools = len(bias)
     offsets = np.repeat(np.arange(len(WIDTHS)), WIDTHS)  # the width of each tap
+    seen, number = np.zeros(len(w.emb), bool), np.zeros(len(w.emb), np.int64)
     for at in range(0, len(order), STEP):
         batch = order[at : at + STEP]
-        used = np.unique(np.concatenate([prepared[b] for b in batch]))
-        taps = np.einsum("vd,kdf->vkf", w.emb[used], kernel).reshape(len(used), -1).astype(np.float32)
-        pooled, place = np.zeros((len(batch), pools)), np.zeros((len(batch), pools), np.int64)
-        for r, b in enumerate(batch):
-            c = convolve(taps[np.searchsorted(used, prepared[b])])
-            place[r] = c.argmax(axis=0)
-            pooled[r] = c[place[r], np.arange(pools)]
+        # The padding before a text ends the one before it.
+        rows_of = np.concatenate([*(prepared[b][:-PAD] for b in batch), np.zeros(PAD, np.int64)])
+        edges = np.cumsum([0, *(len(prepared[b]) - PAD for b in batch)])
+        seen[rows_of] = True
+        used = np.flatnonzero(seen)
+        seen[used] = False
+        number[used] = np.arange(len(used))
+        flat = kernel.transpose(1, 0, 2).reshape(DIM, -1)
+        c = _convolve_rows((w.emb[used] @ flat).astype(np.float32), number[rows_of])
+        place = np.stack([c[i:j].argmax(axis=0) + i for i, j in zip(edges[:-1], edges[1:], strict=True)])
+        pooled = c[place, np.arange(pools)].astype(float)
         active = pooled + bias > 0
         hidden = np.where(active, pooled + bias, 0)
         p = 1 / (1 + np.exp(-np.clip(hidden @ out + shift[0], -30, 30)))
@@ -174,8 +192,8 @@ def _descend(w: Weights, prepared: list, toxic: np.ndarray, balance: np.ndarray,
         for k, width in enumerate(offsets):
             j = k - sum(WIDTHS[:width])
             cols = slice(width * FILTERS, (width + 1) * FILTERS)
-            rows = np.stack([prepared[b][place[r, cols] + j] for r, b in enumerate(batch)])
-            own = np.searchsorted(used, rows)
+            rows = rows_of[place[:, cols] + j]
+            own = number[rows]
             g_kernel[k] = np.einsum("bfd,bf->df", w.emb[rows], back[:, cols])
             np.add.at(g_emb, own.ravel(), (back[:, cols, None] * kernel[k].T[None]).reshape(-1, DIM))
         w.emb_memory[used] += (g_emb**2).mean(axis=1)
@@ -379,6 +397,7 @@ def _calibrate(rows: DataFrame, model: Model) -> None:
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, shard: int = SHARD) -> Model:
     """A model from all labelled rows that learnable admits, shard of them a task."""
+    small_batches(docs.sparkSession)
     rows = durable(labelled(docs, labels, F.lit(True) if learnable is None else learnable))
     counts = rows.groupBy("aside", "toxic", "lang").count().collect()  # a row for each language and class
     names = sorted({r["lang"] for r in counts}) or [""]
@@ -409,6 +428,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the score of each row's whole text in the column name, which docs must not have."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the words of labelled texts
     at = docs.columns.index("text")
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -126,8 +126,8 @@ def test_cells_of_triangles_are_dealt_to_tasks(spark, monkeypatch):
     dealt, real = [], spatial.dealt_cells
     monkeypatch.setattr(spatial, "CELLS", 16)
     monkeypatch.setattr(spatial, "dealt_cells", lambda cells, parts: dealt.append((cells.columns, parts)) or real(cells, parts))
-    stations = spark.createDataFrame([(k, 35 + (k * 0.618) % 1, 135 + (k * 0.414) % 1) for k in range(30)], "station_id long, lat double, lon double")
-    cells = spark.range(0, 100, 1, 1).selectExpr("cast(id AS int) AS row", "0 AS col", "35 + (id * 0.732) % 1 AS lat", "135 + (id * 0.236) % 1 AS lon")
+    stations = spark.range(300).selectExpr("id as station_id", "35 + (id * 0.618D) % 1 as lat", "135 + (id * 0.414D) % 1 as lon")
+    cells = spark.range(0, 100, 1, 1).selectExpr("cast(id as int) as row", "0 as col", "35 + (id * 0.732D) % 1 as lat", "135 + (id * 0.236D) % 1 as lon")
     plan = spatial.linear_plan(cells, stations, spatial.Grid(135.0, 35.0, 136.0, 36.0, (1, 1)))
     assert (["row", "col", "x", "y"], 7) in dealt
     assert plan.select("row").distinct().count() == 100
