@@ -882,3 +882,36 @@ def test_bpe_every_character(encoder, tokenizer):
     for k in range(0, len(characters), 4000):
         text = " ".join(f"a{c}b:{c}" for c in characters[k : k + 4000])
         check(encoder, tokenizer, [text])
+
+
+def test_unlike_lines_of_one_key_do_not_leave_the_join(spark):
+    """Lines of one length that share a passage, short ones that share a beginning: their pairs grow with the square; links stay."""
+    shared = "one passage of many words that all lines hold"
+    lines = [" ".join([*(f"v{k}x{j}" for j in range(11)), shared]) for k in range(60)]
+    lines += [f"abcdef {''.join(random.Random(k).sample('ghijklmnopqrstuvwxyz', 14))}" for k in range(60)]
+    texts = line_dedup.durable(line_dedup.distinct_texts(line_dedup.raw_lines(odd(spark, [(1, "\n".join(lines), None, None, None)]))))
+    keys = line_dedup.durable(line_dedup.window_keys(texts).union(line_dedup.segment_keys(texts)))
+    sharing = keys.groupBy("key").count().agg({"count": "max"}).first()[0]
+    assert sharing >= 50
+    groups = spark.createDataFrame([], "node long, root long")
+    assert line_dedup.other_pairs(keys, texts, groups).count() < 100  # of 3,540
+
+
+def test_maps_keep_every_similar_pair(spark):
+    rng = random.Random(5)
+    texts = []
+    for k in range(300):
+        size = rng.choice((1, 2, 3, 4, 4, 5, 5, 8, 30))
+        own = ["".join(rng.choices("abcdé", k=rng.randint(1, 7))) for _ in range(size)]
+        letters = list(" ".join(own))
+        for _ in range(rng.randint(0, max(1, len(letters) // 5))):
+            at = rng.randrange(len(letters) + 1)
+            letters[at : at + rng.choice((0, 1))] = rng.choice(("", "a", "b"))
+        texts += [" ".join(own), " ".join("".join(letters).split()) or "a"]
+    rows = [(k, t, len(t), t.count(" ") + 1) for k, t in enumerate(texts)]
+    table = line_dedup.durable(spark.createDataFrame(rows, "id long, norm string, n int, n_words int"))
+    whole = table.join(line_dedup.held_maps(table), "id")
+    one, two = (whole.selectExpr(f"struct(*) AS {x}") for x in "xy")
+    pairs = one.crossJoin(two).where("x.id < y.id").select(line_dedup.similar("x", "y").alias("alike"), line_dedup.close_maps("x", "y").alias("close"))
+    counts = {(r.alike, r.close): r["count"] for r in pairs.groupBy("alike", "close").count().collect()}
+    assert counts.get((True, False), 0) == 0 and counts[(True, True)] > 150 and counts[(False, False)] > counts[(False, True)]
