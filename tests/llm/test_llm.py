@@ -915,3 +915,25 @@ def test_maps_keep_every_similar_pair(spark):
     pairs = one.crossJoin(two).where("x.id < y.id").select(line_dedup.similar("x", "y").alias("alike"), line_dedup.close_maps("x", "y").alias("close"))
     counts = {(r.alike, r.close): r["count"] for r in pairs.groupBy("alike", "close").count().collect()}
     assert counts.get((True, False), 0) == 0 and counts[(True, True)] > 150 and counts[(False, False)] > counts[(False, True)]
+
+
+def test_training_convolves_a_step_at_once(monkeypatch):
+    """A step's texts share one convolution; weights are those of texts taken one by one."""
+    rng = np.random.default_rng(3)
+    prepared = [np.concatenate([np.zeros(2, np.int64), rng.integers(0, 40, rng.integers(0, 30)), np.zeros(2, np.int64)]) for _ in range(100)]
+    calls = []
+    real = toxicity._convolve_rows
+    monkeypatch.setattr(toxicity, "_convolve_rows", lambda taps, rows: calls.append(len(rows)) or real(taps, rows))
+    w = toxicity._begin(rng.normal(0, 1, 40))
+    before = toxicity._begin(np.zeros(40))
+    before.emb[:], before.dense[:] = w.emb, w.dense
+    toxic = rng.integers(0, 2, 100)
+    toxicity._descend(w, prepared, toxic, np.ones(100), np.arange(100))
+    assert len(calls) == -(-100 // toxicity.STEP)
+    # The first step's pools, text by text.
+    flat = before.parts()[0].transpose(1, 0, 2).reshape(toxicity.DIM, -1)
+    taps = (before.emb @ flat).astype(np.float32)
+    ends = np.cumsum([0, *(len(p) - 2 for p in prepared)])
+    whole = real(taps, np.concatenate([*(p[:-2] for p in prepared), np.zeros(2, np.int64)]))
+    for p, i, j in zip(prepared, ends[:-1], ends[1:], strict=True):
+        assert np.array_equal(whole[i:j], toxicity.convolve(taps[p]))
