@@ -35,7 +35,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, slices
+from .common import durable, slices, small_batches
 
 MOST_WORDS, LONGEST, MEMO = 1 << 16, 40, 200_000
 WORD_END = "</w>"
@@ -344,6 +344,7 @@ def _encoder(vocabulary: str, lexicon: str) -> Encoder:
 def map_encoded(docs: DataFrame, path: str, finish: Callable[[np.ndarray, Vocabulary], tuple], names: list[str], kinds: list[str], most: int = MOST_WORDS) -> DataFrame:
     """docs' doc_id with what finish makes of each text's ids; the vocabulary decodes them."""
     context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
     folder = Path(tempfile.mkdtemp(prefix="quakeframe-bpe-"))
     stem = uuid.uuid4().hex
     files = folder / f"vocabulary-{stem}.json", folder / f"lexicon-{stem}.bin"

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, keep_rows, row_key
+from .common import durable, keep_rows, row_key, small_batches
 from .components import connected_components
 
 BITS, SEGMENT_BITS, MAX_DISTANCE = 64, 32, 2
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
             found = np.fromiter((simhash(x.as_py(), width, seed) for x in batch.column(2)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found.view(np.int64))], ["doc_id", "row_key", "fp"])
 
+    small_batches(docs.sparkSession)
     picked = docs.select(F.col("doc_id").cast("long"), row_key(F.col("text")).alias("row_key"), F.col("text").cast("string"))
     return picked.mapInArrow(run, "doc_id long, row_key long, fp long")
 

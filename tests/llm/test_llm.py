@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quakeframe.llm import bpe, exact_dedup, html_extract, langid, line_dedup, media, mixing, queries, simhash_dedup, toxicity, url_filter
-from quakeframe.llm.common import word_hashes
+from quakeframe.llm.common import BATCH_BYTES, word_hashes
 from quakeframe.llm.components import connected_components
 from tests.oracle import duck_rows, spark_rows
 
@@ -937,3 +937,18 @@ def test_training_convolves_a_step_at_once(monkeypatch):
     whole = real(taps, np.concatenate([*(p[:-2] for p in prepared), np.zeros(2, np.int64)]))
     for p, i, j in zip(prepared, ends[:-1], ends[1:], strict=True):
         assert np.array_equal(whole[i:j], toxicity.convolve(taps[p]))
+
+
+def test_whole_texts_go_to_workers_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        docs = spark.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text")
+        simhash_dedup.fingerprints(docs)
+        assert spark.conf.get(key) == BATCH_BYTES
+        spark.conf.set(key, "1m")
+        simhash_dedup.fingerprints(docs)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
