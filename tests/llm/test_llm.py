@@ -897,6 +897,23 @@ def test_unlike_lines_of_one_key_do_not_leave_the_join(spark):
     assert line_dedup.other_pairs(keys, texts, groups).count() < 100  # of 3,540
 
 
+def test_only_shared_keys_are_kept(spark, monkeypatch):
+    """Keys that one text has alone go, and of keys that the same texts have one stays; links stay."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshr") for _ in range(7))
+    lines = [" ".join(word() for _ in range(30)) for _ in range(40)]
+    lines += [" ".join([word(), *line.split()[1:]]) for line in lines[:20]]
+    texts = line_dedup.durable(line_dedup.distinct_texts(line_dedup.raw_lines(odd(spark, [(1, "\n".join(lines), None, None, None)]))))
+    every = line_dedup.durable(line_dedup.window_keys(texts).union(line_dedup.segment_keys(texts)))
+    members = lambda keys: {k: frozenset(r.id for r in rows) for k, rows in itertools.groupby(sorted(keys.collect(), key=lambda r: r.key), lambda r: r.key)}
+    had, kept = members(every), list(members(line_dedup.shared_keys(every)).values())
+    assert set(kept) == {m for m in had.values() if len(m) > 1} and len(kept) == len(set(kept)) == 20 < len(had)
+    # What is verified reads the texts that share a key, and no others.
+    read, real = [], line_dedup.similar_pairs
+    monkeypatch.setattr(line_dedup, "similar_pairs", lambda table, pairs: read.append(table.count()) or real(table, pairs))
+    assert line_dedup.text_groups(texts).count() == 40 and read == [40, 40]
+
+
 def test_maps_keep_every_similar_pair(spark):
     rng = random.Random(5)
     texts = []
