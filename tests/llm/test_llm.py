@@ -969,3 +969,36 @@ def test_whole_texts_go_to_workers_in_small_batches(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_long_lines_of_one_passage_do_not_become_pairs(spark):
+    """Unlike lines of one length that share a long passage, or are of a few words repeated; links stay."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("etaoinshrd") for _ in range(6))
+    passage = [word() for _ in range(50)]
+    lines = [" ".join([*(word() for _ in range(150)), *passage]) for _ in range(60)]
+    lines += [" ".join([*["again"] * n, *["elsewhere"] * (90 - n), *passage[:3]]) for n in (5, 35, 65)]
+    texts = line_dedup.durable(line_dedup.distinct_texts(line_dedup.raw_lines(odd(spark, [(1, "\n".join(lines), None, None, None)]))))
+    # One key that all of them hold.
+    keys = line_dedup.durable(texts.selectExpr("id", "1 AS size", "7L AS key"))
+    groups = spark.createDataFrame([], "node long, root long")
+    assert line_dedup.other_pairs(keys, texts, groups).count() < 100  # of 1,953
+    close = [" ".join([word(), *lines[0].split()[1:]]), " ".join(["again"] * 30 + ["elsewhere"] * 60 + passage[:3])]
+    assert dropped(spark, lines + close) == [len(lines), len(lines) + 1]
+
+
+def test_verifying_moves_texts_in_rounds(spark, monkeypatch):
+    """Pairs grow faster than texts: what verifying them moves at once is bounded by the texts."""
+    rng = random.Random(22)
+    rows = [(k, " ".join("".join(rng.choice("etaoin") for _ in range(3)) for _ in range(12))) for k in range(60)]
+    rows += [(60 + k, "x " + text[text.index(" ") + 1 :]) for k, text in rows]
+    texts = line_dedup.durable(spark.createDataFrame([(k, t, len(t), 12) for k, t in rows], "id long, norm string, n int, n_words int"))
+    a, b = (texts.select(line_dedup.F.col("id").alias(x)) for x in "ab")
+    pairs = a.crossJoin(b).where("a < b")
+    moved, real = [], line_dedup.durable
+    monkeypatch.setattr(line_dedup, "durable", lambda df, **options: moved.append(df.columns) or real(df, **options))
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 1)
+    links = line_dedup.similar_pairs(texts, real(pairs))
+    assert {(r.a, r.b) for r in links.collect()} == {(k, 60 + k) for k in range(60)}
+    # 7,140 pairs move a text each, 59.5 times the 120 texts: at most about twice that many letters a round, and their links.
+    assert len(moved) - 1 in (29, 30, 31)
