@@ -1002,3 +1002,46 @@ def test_verifying_moves_texts_in_rounds(spark, monkeypatch):
     assert {(r.a, r.b) for r in links.collect()} == {(k, 60 + k) for k in range(60)}
     # 7,140 pairs move a text each, 59.5 times the 120 texts: at most about twice that many letters a round, and their links.
     assert len(moved) - 1 in (29, 30, 31)
+
+
+def test_long_lines_of_few_words_by_characters(spark):
+    """Under five words and over 34 letters: as many edits as similarity allows, spread over the text, shift or not."""
+    rng = random.Random(23)
+    lines, want = [], set()
+    for n in (35, 39, 44, 47, 60, 64, 99, 180, 400):
+        for count, kinds in itertools.product((1, 2, 4), ("=", "+", "-", "=+-")):
+            base = [rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n)]
+            for k in range(1, count):
+                base[k * n // count] = " "
+            copy, most = list(base), (n if "+" not in kinds else n * 19 // 20) // 5
+            for at in sorted(rng.sample(range(1, n - 1), n // 2), reverse=True):
+                # No two edits within a few letters of each other, and no blanks moved.
+                if most and " " not in base[at - 1 : at + 2] and (at % 5 == 2 or n < 60):
+                    kind = rng.choice(kinds)
+                    copy[at : at + (kind != "+")] = ["#"] if kind == "=" else ["%", base[at]][:1] if kind == "+" else []
+                    most -= 1
+            copy = ["z" if c == "#" else "q" if c == "%" else c for c in copy]
+            lines += ["".join(base), "".join(copy)]
+            if alike(lines[-2], lines[-1]) and edits(lines[-2], lines[-1]) > 6:
+                want.add(len(lines) - 1)
+    found = set(dropped(spark, lines))
+    assert len(want) > 60 and want <= found and all(k % 2 and alike(lines[k - 1], lines[k]) for k in found)
+
+
+def test_every_two_similar_lines_of_few_words_share_a_key(spark):
+    """Pieces of 4 letters are a quarter of a text, edits a fifth: the worst edits leave one whole."""
+    rng = random.Random(24)
+    rows, pairs = [], []
+    for n in range(35, 140):
+        base = "".join(rng.choice("abcdefgh") for _ in range(n))
+        copy = list(base)
+        for k in range(n // 5):
+            copy[4 * k + rng.randrange(4)] = rng.choice(("y", "", "y"))
+        for other in ("".join(copy), base[n // 5 :], base[: n - n // 5], base[n // 10 : n - n // 5 + n // 10]):
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), base, n, 1), (len(rows) + 1, other, len(other), 1)]
+    texts = spark.createDataFrame(rows, "id long, norm string, n int, n_words int")
+    held = {}
+    for r in line_dedup.segment_keys(texts).collect():
+        held.setdefault(r.id, set()).add(r.key)
+    assert [p for p in pairs if not held[p[0]] & held[p[1]]] == []
